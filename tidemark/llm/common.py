@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,12 @@ def _clean() -> None:
             return
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once the driver's objects for them are gone."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding it."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

@@ -10,8 +10,8 @@ At one m, two near members differ in at most 2 bits, and a near and a far one in
 other m. Hence a star around the smallest near member holds exactly the same connected pieces as all links at m: no
 pairs within a group are made, however large it is. Links are deduplicated and verified by their bit count.
 
-Before the ball is emitted, an exact sieve drops fingerprints that cannot have a partner: within 3 bits, some 32-bit
-half differs in at most one bit, which the same parity argument finds with 17 keys a half on average.
+Before the ball is emitted, an exact sieve drops fingerprints that cannot have a partner: three bits lie in at most
+three of six blocks of bits, so a partner agrees in three others, which 20 keys show.
 
 Components come from rounds of hooking each node to its least neighbour (in natural order and in the order of ids
 xor-ed with a constant, in turn: the first collapses stars, the second long chains) and contracting the links. Each round's
@@ -25,6 +25,7 @@ named are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Written, as_bytes, written
+from .common import Written, as_bytes, release, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -74,15 +75,11 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") ->
 
 
 def _sieve(fps: DataFrame) -> DataFrame:
-    """The fingerprints of which another differs in at most one bit in the lower or upper half."""
-
-    def keys(half, tag: int):
-        flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: half.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-        found = F.when(F.bit_count(half) % 2 == 0, F.array(half)).otherwise(F.concat(F.array(half), flips))
-        return F.transform(found, lambda x: x.bitwiseOR(F.lit(tag << 32)))
-
-    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    met = fps.select("fp", F.explode(F.concat(keys(low, 0), keys(high, 1))).alias("key"))
+    """The fingerprints that share three of six blocks of bits with another."""
+    cuts = [0, 11, 22, 33, 44, 54, 64]
+    masks = [sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in of) for of in combinations(range(6), 3)]
+    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)))) for k, m in enumerate(masks)]
+    met = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     shared = met.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("key")
     return met.join(shared, "key", "left_semi").select("fp").distinct()
 
@@ -114,7 +111,9 @@ def _balls(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) that join what lies within RADIUS bits."""
     at_m = Window.partitionBy("m")  # a ball has at most 2081 members
-    met = _balls(_sieve(fps)).select("fp", F.min("near").over(at_m).alias("hub")).where("fp != hub")
+    sieved = written(_sieve(fps), "sieved")
+    release(fps.sparkSession)
+    met = _balls(sieved).select("fp", F.min("near").over(at_m).alias("hub")).where("fp != hub")
     met = met.select(F.least("fp", "hub").alias("u"), F.greatest("fp", "hub").alias("v")).distinct()
     return met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
 
