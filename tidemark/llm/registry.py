@@ -12,11 +12,12 @@ from .mixing import op8_entropy_mixing
 from .packing import op5_concat_and_cut
 from .pii import op9_pii
 from .quality import op1_quality_rules
+from .repeats import op7_suffix_dedup
 from .simhash import op10_simhash_near_dedup
 from .warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_chat_format, op4_license_scan, op5_concat_and_cut, op6_warc, op8_entropy_mixing, op9_pii, op10_simhash_near_dedup)
+    for f in (op1_quality_rules, op3_chat_format, op4_license_scan, op5_concat_and_cut, op6_warc, op7_suffix_dedup, op8_entropy_mixing, op9_pii, op10_simhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
