@@ -15,6 +15,9 @@ number of copies. What the rounding left over is then settled by a few greedy pa
 least halves it, as long as documents that fit are left. Copies are dealt within a size by the order of a hash, in
 SUBCELLS groups whose shares are again differences of a rounded prefix sum, so that no window holds a whole source.
 
+Documents are taken whole. A source so misses its target by a few words as a rule, and at worst by half of its longest
+document, where that makes up most of the source.
+
 Defined cases: a null text has size 0; what has size 0 is never taken. Null sources form one source. Rows with the same
 doc_id are ranked in any order. Other columns are ignored. An empty table gives an empty result. One window sees a row
 for each source, one a row for each size of a source; both are bounded by the sources and the lengths of texts, not by rows.
@@ -36,11 +39,6 @@ SUBCELLS = 256
 TOLERANCE, MOST_STEPS, PASSES = 1e-7, 60, 8
 
 
-def _keyed(docs: DataFrame, source: str, size) -> DataFrame:
-    """docs with _key (the source, never null) and _size."""
-    return docs.withColumns({"_key": F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source))), "_size": size.cast("long")})
-
-
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """sizes (_key, source, source_size, n_docs), with target."""
     by_name = Window.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last())
@@ -105,12 +103,12 @@ def copies_by_size(cells: DataFrame, tilted: DataFrame, cap: int = CAP) -> DataF
     return found.select("_key", "_size", "n", "k")
 
 
-def with_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies, a whole number up to cap."""
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)) if "_size" not in docs.columns else F.col("_size")
-    docs = _keyed(docs, source, size).withColumn("_sub", F.pmod(F.xxhash64(doc_id), F.lit(SUBCELLS)).cast("int"))
+def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """docs (doc_id, source, _size and more) with _source_size, _target and _copies, a whole number up to cap."""
+    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))  # never null
+    docs = docs.withColumns({"_key": key, "_sub": F.pmod(F.xxhash64("doc_id"), F.lit(SUBCELLS)).cast("int")})
     # one scan of the texts gives the histogram; everything up to the last join works on it
-    subcells = written(docs.groupBy("_key", F.col(source).alias("source"), "_size", "_sub").agg(F.count(F.lit(1)).alias("n_sub")), "subcells")
+    subcells = written(docs.groupBy("_key", "source", "_size", "_sub").agg(F.count(F.lit(1)).alias("n_sub")), "subcells")
     cells = written(subcells.where("_size > 0").groupBy("_key", "_size").agg(F.sum("n_sub").alias("n")), "cells")
     worded = F.col("_size") > 0
     sizes = subcells.groupBy("_key", "source").agg(F.sum(F.col("_size") * F.col("n_sub")).alias("source_size"), F.sum(F.when(worded, F.col("n_sub"))).alias("n_docs"), F.min(F.when(worded, F.col("_size"))).alias("least"))
@@ -120,7 +118,7 @@ def with_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     of_cell = Window.partitionBy("_key", "_size").orderBy("_sub")
     shared = shared.select("_key", "_size", "_sub", "n_sub", (F.col("_upto") - F.coalesce(F.lag("_upto").over(of_cell), F.lit(0))).alias("_k"))
     shared = written(shared.withColumn("_least", F.expr("_k div n_sub")).withColumn("_more", F.col("_k") - F.col("_least") * F.col("n_sub")).drop("n_sub", "_k"), "shares")
-    rank = F.row_number().over(Window.partitionBy("_key", "_size", "_sub").orderBy(F.xxhash64(F.lit(7), doc_id), doc_id))
+    rank = F.row_number().over(Window.partitionBy("_key", "_size", "_sub").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id"))
     ranked = docs.join(shared, ["_key", "_size", "_sub"], "left").withColumn("_rank", rank)
     copies = F.coalesce(F.col("_least") + (F.col("_rank") <= F.col("_more")).cast("long"), F.lit(0).cast("long"))
     named = sources.select("_key", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
@@ -135,9 +133,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"))
 
 
-def repeat_by_copies(docs: DataFrame) -> DataFrame:
+def repeat_by_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Each row of docs as often as the mix takes it, with all columns of docs."""
-    return with_copies(docs).where("_copies > 0").withColumn("_i", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("_size"), F.struct(*docs.columns).alias("_row"))
+    return with_copies(own).where("_copies > 0").select("_row", F.explode(F.expr("sequence(1L, _copies)"))).select("_row.*")
 
 
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

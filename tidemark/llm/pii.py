@@ -87,12 +87,14 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, with [KIND] in the place of each span; of spans that overlap, the first gives the name. n_chars follows."""
     cut = f"""aggregate(_spans, struct(0 AS p, array() :: array<string> AS out), (a, x) -> CASE
-        WHEN x.s >= a.p THEN struct(x.e AS p, concat(a.out, array(substring(`{text}`, a.p + 1, x.s - a.p), concat('[', upper(x.kind), ']'))) AS out)
-        ELSE struct(greatest(a.p, x.e) AS p, a.out AS out) END, a -> concat(array_join(a.out, ''), substring(`{text}`, a.p + 1)))"""
-    clean = _with_spans(docs, text).withColumn(text, F.expr(f"CASE WHEN size(_spans) > 0 THEN {cut} ELSE `{text}` END"))
+        WHEN x.s >= a.p THEN struct(x.e AS p, concat(a.out, array(substring(text, a.p + 1, x.s - a.p), concat('[', upper(x.kind), ']'))) AS out)
+        ELSE struct(greatest(a.p, x.e) AS p, a.out AS out) END, a -> concat(array_join(a.out, ''), substring(text, a.p + 1)))"""
+    own = _with_spans(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text")), "text")
+    own = own.withColumn("_new", F.expr(f"CASE WHEN size(_spans) > 0 THEN {cut} ELSE text END"))
+    new = {text: F.col("_new")}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("_spans") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
+    return own.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

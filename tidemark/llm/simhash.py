@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Written, as_bytes, release, written
+from .common import Written, as_bytes, release, unused, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -144,12 +144,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def components(doc_fps: DataFrame) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of doc_fps (doc_id, fp)."""
+    """(fp, comp, component_id) for the distinct fingerprints of doc_fps (doc_id, fp); comp names the component."""
     least = written(doc_fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     comp = connected_components(links(least.select("fp")))
     named = least.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
     first = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return named.join(first, "comp").select("fp", "component_id")
+    return named.join(first, "comp").select("fp", "comp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,15 +162,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """Of each component the row with the smallest doc_id, with all columns of docs; of repeated rows one."""
-    own = written(with_fingerprints(docs, name="_fp"), "with_fps")
-    fps = own.select("doc_id", F.col("_fp").alias("fp"))
+    fp, n = unused(docs, "fp"), unused(docs, "n")
+    own = written(with_fingerprints(docs, name=fp), "with_fps")
+    fps = own.select("doc_id", F.col(fp).alias("fp"))
     pairs = fps.distinct().join(components(fps), "fp")
     # of a component the fingerprints under its smallest doc_id; the least of them if that id has several
-    kept = pairs.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "doc_id").agg(F.min("fp").alias("_fp"))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f"))
-    found = own.join(kept, own["_fp"].eqNullSafe(kept["_f"]) & own["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    first = Window.partitionBy("_fp", "doc_id").orderBy("text", "source", "lang") if {"source", "lang"} <= set(docs.columns) else Window.partitionBy("_fp", "doc_id").orderBy("text")
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    kept = pairs.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("comp", "doc_id").agg(F.min("fp").alias("_fp"))
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("_fp"))
+    found = own.join(kept, (own[fp] == kept["_fp"]) & own["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    first = Window.partitionBy(fp, "doc_id").orderBy(*(c for c, kind in docs.dtypes if kind in ("string", "bigint")))
+    return found.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
