@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .chat import op3_chat_format
 from .licenses import op4_license_scan
 from .mixing import op8_entropy_mixing
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality_rules, op3_chat_format, op4_license_scan, op5_concat_and_cut, op6_warc, op7_suffix_dedup, op8_entropy_mixing, op9_pii, op10_simhash_near_dedup)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": oracles.CHAT, "op4_license_scan": oracles.LICENSES, "op6_warc": oracles.WARC}
