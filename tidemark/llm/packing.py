@@ -7,7 +7,8 @@ multiples of LENGTH: a document that crosses a boundary leaves a record on eithe
 last, so nothing else is padded.
 
 Tokens do not cross ASCII white space, so a document's ids are those of its chunks between white space, which are kept
-in a bounded cache of the worker. Ids are written as 16-bit numbers if the vocabulary allows, else 32-bit.
+in a bounded cache of the worker; those of plain letters skip the vocabulary's normalization, which leaves them as they
+are. Ids are written as 16-bit numbers if the vocabulary allows, else 32-bit.
 
 Defined cases: a null or empty text has only the end id. Repeated rows are packed each on its own. A text of any length
 is cut like any other. Other columns are ignored. An empty table gives an empty result.
@@ -15,8 +16,10 @@ is cut like any other. Other columns are ignored. An empty table gives an empty
 
 from __future__ import annotations
 
+import os
 import sys
 import types
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -32,7 +35,9 @@ from .common import as_bytes, written
 LENGTH = 2048
 END = 1
 #: Chunks that a worker's cache holds at most, and the bytes of the longest.
-CACHED, LONGEST = 400_000, 48
+CACHED, LONGEST = 600_000, 48
+#: Marks at a chunk's end that the vocabulary's rules always part from letters.
+MARKS = ".,;:!?|*&#$%"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -46,26 +51,51 @@ def _encoder(path: str) -> tuple[Callable[[bytes | None], bytes], str]:
     kept = sys.modules.setdefault("_tidemark_tokens", types.ModuleType("_tidemark_tokens"))
     if path in kept.__dict__:
         return kept.__dict__[path]
-    from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # cores belong to tasks
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    tok = Tokenizer.from_file(path)
+    tok, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     code = "H" if tok.get_vocab_size() <= 1 << 16 and END < 1 << 16 else "I"
     cache: dict[bytes, bytes] = {}
     end = array(code, [END]).tobytes()
 
+    def learn(by: Tokenizer, chunks: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in chunks]
+        for w, e in zip(chunks, by.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            cache[w] = array(code, e.ids).tobytes()
+
+    def is_plain(w: str) -> bool:
+        """Lower-case Latin letters in composed form: no normalization changes them, and they are one word."""
+        return w.isalpha() and max(w) < "\u0250" and w == w.lower() and unicodedata.is_normalized("NFC", w)
+
     def encode(text: bytes | None) -> bytes:
         if not text:
             return end
         # letters are lower-cased anyway; only the strings of special tokens must be seen as they are
-        words = (text if b"<|" in text else text.lower()).split()
+        special = b"<|" in text
+        words = (text if special else text.lower()).split()
         missing = set(words).difference(cache)
         if missing:
             if len(cache) > CACHED:
                 cache.clear()
                 missing = set(words)
-            some = list(missing)
-            for w, e in zip(some, tok.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                cache[w] = array(code, e.ids).tobytes()
+            plain, other, joined = set(), [], []
+            for w in missing:
+                whole = w.decode("utf-8", "replace")
+                core = whole.rstrip(MARKS)
+                if special or not core or not is_plain(core):
+                    other.append(w)
+                    continue
+                at = len(w) - len(whole) + len(core)  # marks are a byte each
+                plain.add(w[:at])
+                if at < len(w):  # a word ends where marks begin, and they are one word
+                    joined.append((w, w[:at], w[at:]))
+            learn(bare, [x for x in plain if x not in cache])
+            learn(tok, [*other, *(x for x in {m for _, _, m in joined} if x not in cache)])
+            for w, core, marks in joined:
+                cache[w] = cache[core] + cache[marks]
         ids = b"".join(map(cache.__getitem__, words)) + end
         for w in missing:
             if len(w) > LONGEST:
@@ -81,9 +111,6 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, code = _encoder(path)
         part, before, width = TaskContext.get().partitionId(), 0, array(code).itemsize
         for b in batches:
