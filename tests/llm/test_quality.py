@@ -47,7 +47,7 @@ def test_ratio_against_brute_force(spark):
     ratios = Q.fit(docs, labels(spark, [(i, 1, 0) for i in good] + [(4, 0, 0), (5, 1, 1), (None, 1, 0), (6, None, None)]), n_buckets=64, prior=10)
     raw, trusted = np.zeros(64), np.zeros(64)
     for r in cases.rows():
-        for b in Q.buckets_of((r[1] or "").encode().split(), 64):
+        for b in Q.buckets_of((r[1] or "").encode(), 64):
             raw[b] += 1
             trusted[b] += r[0] in good
     p = (raw + 0.5) / (raw.sum() + 32)
@@ -55,7 +55,7 @@ def test_ratio_against_brute_force(spark):
     for r in Q.judge(docs, ratios, 0.01).collect():
         words = dict((x[0], x[1]) for x in cases.rows())[r.doc_id] if r.doc_id is not None else None
         if words:
-            assert abs(r.score - ratios[Q.buckets_of(words.encode().split(), 64)].mean()) < 1e-6 if words.split() else r.score == 0
+            assert abs(r.score - ratios[Q.buckets_of(words.encode(), 64)].mean()) < 1e-6 if words.split() else r.score == 0
         assert r.kept == (not r.base_failed and r.score >= 0.01)
 
 
@@ -81,4 +81,4 @@ def test_bad_documents_go_and_clean_ones_stay(spark):
     rows = Q.judge(docs, Q.fit(docs, half)).join(marks.where("doc_id % 2 = 1"), "doc_id").where("NOT base_failed").collect()
     clean = [r.kept for r in rows if r.quality == 1]
     bad = [r.kept for r in rows if r.quality == 0]
-    assert all(clean) and sum(bad) < 0.6 * len(bad)
+    assert all(clean) and not any(bad)
