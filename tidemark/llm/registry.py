@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .chat import op3_chat_format
 from .licenses import op4_license_scan
+from .media import op2_media_copies
 from .mixing import op8_entropy_mixing
 from .packing import op5_concat_and_cut
 from .pii import op9_pii
@@ -19,6 +20,6 @@ from .warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_chat_format, op4_license_scan, op5_concat_and_cut, op6_warc, op7_suffix_dedup, op8_entropy_mixing, op9_pii, op10_simhash_near_dedup)
+    for f in (op1_quality_rules, op2_media_copies, op3_chat_format, op4_license_scan, op5_concat_and_cut, op6_warc, op7_suffix_dedup, op8_entropy_mixing, op9_pii, op10_simhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat_format": oracles.CHAT, "op4_license_scan": oracles.LICENSES, "op6_warc": oracles.WARC}
