@@ -40,6 +40,12 @@ def range_pairs(files: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a") < F.col("b")) & (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))).select("a", "b")
 
 
+def boundary_pairs(files: DataFrame) -> DataFrame:
+    """file_no, next_file: files of a level of which the second begins with the key at which the first ends."""
+    b = files.select("level", F.col("file_no").alias("next_file"), F.col("lo").alias("hi"))
+    return files.select("level", "file_no", "hi").join(b, ["level", "hi"]).where("file_no != next_file").select("file_no", "next_file")
+
+
 def level_summary(files: DataFrame) -> DataFrame:
     """level, n_files, n_bytes, smallest, largest."""
     return files.groupBy("level").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"), F.min("smallest_k").alias("smallest"), F.max("largest_k").alias("largest"))

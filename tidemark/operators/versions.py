@@ -11,9 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..model import DELETE, MAX_SEQ, PUT
+
 _VARIABLE = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
 
 
+def checked(log: DataFrame) -> DataFrame:
+    """log with problem: null for a row that can be, else the column that can't. Repair drops such rows, scans keep them."""
+    seq = F.col("seq").isNull() | (F.col("seq") < 0) | (F.col("seq") > MAX_SEQ)
+    op = F.col("op").isNull() | ~F.col("op").isin(DELETE, PUT)
+    return log.withColumn("problem", F.when(F.col("k").isNull(), "k").when(seq, "seq").when(op, "op"))
+
+
 def as_of(log: DataFrame, snapshot: int | None) -> DataFrame:
     """The rows that a snapshot sees; goes before anything that picks versions."""
     return log if snapshot is None else log.where(F.col("seq") <= snapshot)

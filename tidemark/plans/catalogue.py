@@ -6,9 +6,11 @@ The change log is `events`: k = user_id, seq = event_id, op = 0 for clicks (dele
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, keys
@@ -16,6 +18,8 @@ from ..operators import batch as B
 from ..operators import compaction as C
 from ..operators import read as R
 from ..operators import versions as V
+from ..sources.store import Store
+from ..streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,8 +163,6 @@ def merge_runs(spark, d):
 
 @query(f"SELECT row_number() OVER (ORDER BY k, seq DESC) place, k, seq FROM {T}")
 def internal_order(spark, d):
-    from pyspark.sql import Window
-
     # an exact place needs one order over all rows; the operator itself is V.order
     return V.order(events_log(spark, d)).select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("k", F.col("seq").desc())).cast("long").alias("place"), "k", "seq")
 
@@ -290,6 +292,25 @@ def missing_and_obsolete(spark, d):
     return C.missing_files(files, present).select(F.lit("missing").alias("kind"), "file_no").unionByName(gone)
 
 
+@query(
+    f"""SELECT a.file_no, b.file_no AS next_file FROM {_FILES} a JOIN {_FILES} b ON b.level = a.level AND b.file_no <> a.file_no AND b.lo = a.hi"""
+)
+def boundary_files(spark, d):
+    return C.boundary_pairs(manifest_files(spark, d))
+
+
+@query(f"SELECT min(lo) lo, max(hi) hi FROM {_FILES} WHERE level IN (1, 2)")
+def key_range(spark, d):
+    return manifest_files(spark, d).where("level IN (1, 2)").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+@query("SELECT CASE WHEN event_id < 0 OR event_id % 11 = 0 THEN 'seq' WHEN event_type = 'error' THEN 'op' ELSE 'well formed' END AS found, count(*) n FROM events GROUP BY ALL")
+def malformed_rows(spark, d):
+    """Rows of a damaged log: a seq that can't be, or an operation that is neither put nor delete."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("k"), F.when(F.col("event_id") % 11 != 0, F.col("event_id")).alias("seq"), F.when(F.col("event_type") == "error", 7).otherwise(1).alias("op"), F.col("value").alias("v"))
+    return V.checked(rows).groupBy(F.coalesce("problem", F.lit("well formed")).alias("found")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT max(seq) last_seq, CAST(sum(length(k::VARCHAR)) AS BIGINT) n_bytes FROM {T}")
 def last_version(spark, d):
     return events_log(spark, d).agg(F.max("seq").alias("last_seq"), F.sum(F.length(F.col("k").cast("string"))).alias("n_bytes"))
@@ -300,16 +321,12 @@ def last_version(spark, d):
 
 @query("SELECT c_custkey, hex(encode(c_name)) hex_key, rank() OVER (ORDER BY encode(c_name)) place FROM customer")
 def binary_order(spark, d):
-    from pyspark.sql import Window
-
     named = table(spark, d, "customer").withColumn("b", keys.text_key("c_name"))
     return named.select("c_custkey", F.hex("b").alias("hex_key"), F.rank().over(Window.partitionBy(F.lit(1)).orderBy("b")).cast("long").alias("place"))
 
 
 @query("SELECT event_id, rank() OVER (ORDER BY event_id - 5000) by_long, rank() OVER (ORDER BY value - 50) by_double FROM events WHERE event_id < 2000")
 def number_key_order(spark, d):
-    from pyspark.sql import Window
-
     rows = table(spark, d, "events").where("event_id < 2000").select("event_id", keys.long_key(F.col("event_id") - 5000).alias("a"), keys.double_key(F.col("value") - 50).alias("b"))
     return rows.select("event_id", *(F.rank().over(Window.partitionBy(F.lit(1)).orderBy(c)).cast("long").alias(n) for c, n in (("a", "by_long"), ("b", "by_double"))))
 
@@ -333,6 +350,12 @@ def bits(spark, d):
     return table(spark, d, "orders").select("o_orderkey", codec.get_bit(c, F.lit(3)).cast("long").alias("bit"), codec.set_bit(c, F.lit(5)).alias("with_bit"))
 
 
+@query("SELECT c_custkey, hex(encode(c_name || '/' || c_mktsegment)) AS joined, hex(encode(substr(c_name, 10, 4))) AS part, strlen(c_name) AS n, c_name < c_mktsegment AS smaller FROM customer")
+def byte_functions(spark, d):
+    a, b = keys.text_key("c_name"), keys.text_key("c_mktsegment")
+    return table(spark, d, "customer").select("c_custkey", F.hex(F.concat(a, F.lit(b"/"), b)).alias("joined"), F.hex(F.substring(a, 10, 4)).alias("part"), F.octet_length(a).cast("long").alias("n"), (a < b).alias("smaller"))
+
+
 @query()
 def checksums(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.crc32(keys.text_key("c_name")).alias("crc"), F.xxhash64("c_name").alias("hash"))
@@ -341,15 +364,19 @@ def checksums(spark, d):
 # --- the store end to end
 
 
-def _filled(spark: SparkSession, d: str):
-    import tempfile
+def _new_store(spark: SparkSession):
+    """An empty store in the shared folder of the cluster, or in a temporary one on a single machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-store-")
+    return Store.open(spark, f"{folder}/tidemark-store-{uuid.uuid4().hex}", auto_compact=False)
 
-    from ..sources.store import Store
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    place = f"{folder}/tidemark-store-{next(tempfile._get_candidate_names())}" if folder else tempfile.mkdtemp(prefix="tidemark-store-")
-    store = Store.open(spark, place, auto_compact=False)
-    ops = events_log(spark, d).select(keys.long_key("k").alias("k"), "seq", "op", F.when(F.col("op") == 1, F.encode(F.col("v").cast("string"), "UTF-8")).alias("v"))
+def _ops(events: DataFrame) -> DataFrame:
+    op = F.when(F.col("event_type") == "click", 0).otherwise(1)
+    return events.select(keys.long_key("user_id").alias("k"), F.col("event_id").alias("seq"), op.alias("op"), F.when(op == 1, F.encode(F.col("value").cast("string"), "UTF-8")).alias("v"))
+
+
+def _filled(spark: SparkSession, d: str) -> Store:
+    store, ops = _new_store(spark), _ops(table(spark, d, "events"))
     for i in range(3):
         store.write_frame(ops.where(f"seq % 3 = {i}"), ["seq"], n_files=2)
     return store
@@ -381,3 +408,27 @@ def store_snapshot_over_compaction(spark, d):
     store.snapshots.take(S1)
     store.compact_range()
     return _shown(store.iterator(snapshot=S1))
+
+
+@query(f"SELECT k, seq, round(v, 6) v FROM {visible_sql('true', _STORED)} WHERE k > 20 ORDER BY k LIMIT 25")
+def store_scan_limit(spark, d):
+    return _shown(_filled(spark, d).iterator(start=keys.as_key(20), limit=25))
+
+
+@query(f"SELECT k, seq, round(v, 6) v FROM {visible_sql('true', _STORED)} WHERE k < 20")
+def store_reverse(spark, d):
+    return _shown(_filled(spark, d).iterator(start=keys.as_key(20), reverse=True))
+
+
+@query(f"SELECT a.k, b.seq, round(b.v, 6) v FROM (SELECT DISTINCT n_nationkey::BIGINT k FROM nation) a LEFT JOIN {visible_sql('true', _STORED)} b USING (k)")
+def store_multi_get(spark, d):
+    asked = table(spark, d, "nation").select(keys.long_key("n_nationkey").alias("k"))
+    return _shown(_filled(spark, d).multi_get(asked))
+
+
+@query(f"SELECT k, seq, round(v, 6) v FROM {visible_sql('true', T.replace('event_id seq', 'row_number() OVER (ORDER BY event_id) seq'))}")
+def stream_ingest(spark, d):
+    store = _new_store(spark)
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    ingest(store, _ops(events), ["seq"], f"{store.folder.path}/_stream", name=f"ingest-{uuid.uuid4().hex}", once=True).awaitTermination()
+    return _shown(store.iterator())
