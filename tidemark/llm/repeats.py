@@ -39,7 +39,7 @@ from .common import as_bytes, release, written
 SPAN, GRAM = 400, 200
 BLOCK = 1 << 20
 #: Bytes of segments from which a task starts a new shard, at the next hash.
-SHARD = 1 << 22
+SHARD = 1 << 21
 _R = 0x9E3779B97F4A7C15
 _R_INVERSE = pow(_R, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -285,7 +285,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     unsure = unsure.where("single > 0 AND (k > 1 OR own)").select("v")
     chosen = kinds.join(unsure, "v", "left_semi").select("row", "start", "v", "dig")
     rows = pieces.select("row", "start", "v", "segment").join(chosen, ["row", "start", "v"]).select("v", "dig", "segment")
-    marked = written(_sorted_shards(rows.repartition("v").sortWithinPartitions("v"), span), "marked")
+    # sorting takes long for its bytes: a number that is given is not merged into fewer, larger tasks
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "v").sortWithinPartitions("v")
+    marked = written(_sorted_shards(rows, span), "marked")
     release(spark)
 
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))

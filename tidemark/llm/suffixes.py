@@ -6,8 +6,8 @@ ascent after a descent), and theirs comes from the reduced text of the names of
 Induction takes suffixes from a priority queue in order and puts the suffix one place before each back in. Its
 priorities are (first symbol, order of arrival), as what arrives later is never smaller; so the queue is a row of
 places with a cursor for each symbol. That row, the text and the types of its suffixes are files mapped into memory,
-once they are larger than IN_MEMORY bytes; they are worked through in blocks of at most BLOCK entries. A reduced text
-whose names are almost all distinct is sorted by doubling.
+once they are larger than IN_MEMORY bytes; they are worked through in blocks of at most BLOCK entries. The recursion ends
+with a reduced text that fits into memory, which is sorted by doubling, as that takes no loop over its many symbols.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ import numpy as np
 
 IN_MEMORY = 1 << 26
 BLOCK = 1 << 20
-#: Names from which on a reduced text is sorted by doubling.
-MANY_NAMES = 1 << 16
 
 
 def _row(n: int, kind: type) -> np.ndarray:
@@ -28,6 +26,11 @@ def _row(n: int, kind: type) -> np.ndarray:
     return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=(n,))
 
 
+def _places(n: int) -> type:
+    """The numbers that places of a text of n symbols need."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _ascending(text: np.ndarray) -> np.ndarray:
     """For each suffix whether it is smaller than the one after it; the last is."""
     out, after = _row(len(text), np.bool_), True
@@ -59,7 +62,7 @@ def _induce(text: np.ndarray, ascends: np.ndarray, seeds: np.ndarray, n_symbols:
         total += np.bincount(text[a:b], minlength=n_symbols)
         descending += np.bincount(text[a:b][~ascends[a:b]], minlength=n_symbols)
     start = np.concatenate(([0], np.cumsum(total)))
-    queue = _row(n, np.int64)
+    queue = _row(n, _places(n))
 
     def put(items: np.ndarray, cursor: np.ndarray, up: bool) -> None:
         """The suffixes one place before the items, where they ascend as asked, to their symbols' cursors."""
@@ -141,20 +144,21 @@ def suffix_array(text: np.ndarray, n_symbols: int) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     ascends = _ascending(text)
-    lms = np.concatenate([np.arange(max(a, 1), b)[ascends[max(a, 1) : b] & ~ascends[max(a, 1) - 1 : b - 1]] for a, b in _blocks(0, n)])
+    kind = _places(n)
+    lms = np.concatenate([np.arange(max(a, 1), b, dtype=kind)[ascends[max(a, 1) : b] & ~ascends[max(a, 1) - 1 : b - 1]] for a, b in _blocks(0, n)])
     is_lms = _row(n, np.bool_)
     is_lms[:] = False
     is_lms[lms] = True
     rough = _induce(text, ascends, lms, n_symbols)
     pieces = np.concatenate([(x := rough[a:b])[is_lms[x]] for a, b in _blocks(0, n)])
     del rough
-    number = np.empty(n, np.int64) if n * 8 <= IN_MEMORY else _row(n, np.int64)
+    number = _row(n, kind)
     number[lms] = np.arange(len(lms))
     length = np.append(np.diff(lms) + 1, 1)
     names = _names(text, pieces, length[number[pieces]])
     if (n_names := int(names[-1]) + 1) < len(lms):
-        reduced = np.empty(len(lms), np.int64)
+        reduced = _row(len(lms), kind)
         reduced[number[pieces]] = names
-        order = suffix_array(reduced.astype(np.int32), n_names) if n_names <= MANY_NAMES else _doubled(reduced)
+        order = _doubled(reduced) if 8 * len(lms) <= IN_MEMORY else suffix_array(reduced, n_names)
         pieces = lms[order]
     return _induce(text, ascends, pieces, n_symbols)
