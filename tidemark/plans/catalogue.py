@@ -392,43 +392,47 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 @query(f"SELECT k, seq, round(v, 6) v FROM {visible_sql('true', _STORED)}")
 def store_iterator(spark, d):
-    return _shown(_filled(spark, d).iterator())
+    with _filled(spark, d) as store:
+        return _shown(store.iterator())
 
 
 @query(f"SELECT k, seq, round(v, 6) v FROM {visible_sql('true', _STORED)}")
 def store_after_compaction(spark, d):
-    store = _filled(spark, d)
-    store.compact_range()
-    return _shown(store.iterator())
+    with _filled(spark, d) as store:
+        store.compact_range()
+        return _shown(store.iterator())
 
 
 @query(f"SELECT k, seq, round(v, 6) v FROM {visible_sql(f'seq <= {S1}', _STORED)}")
 def store_snapshot_over_compaction(spark, d):
-    store = _filled(spark, d)
-    store.snapshots.take(S1)
-    store.compact_range()
-    return _shown(store.iterator(snapshot=S1))
+    with _filled(spark, d) as store:
+        store.snapshots.take(S1)
+        store.compact_range()
+        return _shown(store.iterator(snapshot=S1))
 
 
 @query(f"SELECT k, seq, round(v, 6) v FROM {visible_sql('true', _STORED)} WHERE k > 20 ORDER BY k LIMIT 25")
 def store_scan_limit(spark, d):
-    return _shown(_filled(spark, d).iterator(start=keys.as_key(20), limit=25))
+    with _filled(spark, d) as store:
+        return _shown(store.iterator(start=keys.as_key(20), limit=25))
 
 
 @query(f"SELECT k, seq, round(v, 6) v FROM {visible_sql('true', _STORED)} WHERE k < 20")
 def store_reverse(spark, d):
-    return _shown(_filled(spark, d).iterator(start=keys.as_key(20), reverse=True))
+    with _filled(spark, d) as store:
+        return _shown(store.iterator(start=keys.as_key(20), reverse=True))
 
 
 @query(f"SELECT a.k, b.seq, round(b.v, 6) v FROM (SELECT DISTINCT n_nationkey::BIGINT k FROM nation) a LEFT JOIN {visible_sql('true', _STORED)} b USING (k)")
 def store_multi_get(spark, d):
     asked = table(spark, d, "nation").select(keys.long_key("n_nationkey").alias("k"))
-    return _shown(_filled(spark, d).multi_get(asked))
+    with _filled(spark, d) as store:
+        return _shown(store.multi_get(asked))
 
 
 @query(f"SELECT k, seq, round(v, 6) v FROM {visible_sql('true', T.replace('event_id seq', 'row_number() OVER (ORDER BY event_id) seq'))}")
 def stream_ingest(spark, d):
-    store = _new_store(spark)
     events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    ingest(store, _ops(events), ["seq"], f"{store.folder.path}/_stream", name=f"ingest-{uuid.uuid4().hex}", once=True).awaitTermination()
-    return _shown(store.iterator())
+    with _new_store(spark) as store:
+        ingest(store, _ops(events), ["seq"], f"{store.folder.path}/_stream", name=f"ingest-{uuid.uuid4().hex}", once=True).awaitTermination()
+        return _shown(store.iterator())
