@@ -44,28 +44,34 @@ def test_keys_agree_with_bits(images):
     keys = M.keys_of(p)
     bits = np.unpackbits(p["d"].copy().view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
     for t in (0, M.TABLES - 1):
-        want = sum(int(bits[3, place]) << k for k, place in enumerate(M._BITS[t])) | t << 32
+        want = sum(int(bits[3, place]) << k for k, place in enumerate(M._BITS[t])) | t << 40
         assert keys[3, t] == want
     assert len({tuple(sorted(b)) for b in M._BITS.tolist()}) == M.TABLES
 
 
-def test_search_against_all_pairs(spark):
-    """The tables lose at most a tenth of what comparing every query with every class finds."""
-    rows = [(i, html(i), "clash") for i in range(0, 800, 10)] + [(1001, html(0), "c"), (1050, html(50), "c"), (None, html(100), "c"), (None, None, None), (7, "", "c"), (50, html(50), "c")]
+def test_groups_against_all_pairs(spark):
+    """Components hold nothing that all pairs do not link, and put at least nine tenths of the edited copies with their page."""
+    rows = [(i, html(i), "clash") for i in range(0, 4000, 50)] + [(i, html(i), "clash") for i in range(1, 40)] + [(1001, html(0), "c"), (1061, html(50), "c"), (None, html(100), "c"), (None, None, None), (47, "", "c"), (50, html(50), "c")]
     pages = spark.createDataFrame(rows, "page_id long, html string, sig string").repartition(3)
     every, classes, links = M.find_copies(pages)
-    assert every.count() == len(rows)
-    found = {(bytes(r.q), bytes(r.c)) for r in links.collect()}
-    own = [(bytes(r.sig), np.frombuffer(r.points, M._RECORD), r.asked and np.frombuffer(r.asked, M._RECORD)) for r in classes.collect()]
-    want = {(a, b) for a, _, q in own if q is not None for b, p, _ in own if M.consensus(q, p)[0] >= M.MIN_INLIERS}
-    assert found <= want and len(found) >= 0.9 * len(want) and len(want) >= 14
-    by = {r.class_id: r for r in classes.collect()}
-    assert by[0].class_size == 2 and by[50].class_size == 3 and by[50].query_id == 50 and by[7].class_size == 2 and by[100].class_size == 2
+    assert every.where("NOT edited").count() == len(rows)
+    own = {r.cid: (np.frombuffer(r.points, M._RECORD), r.component) for r in classes.collect()}
+    want = {(a, b) for a in own for b in own if a != b and M.consensus(own[a][0], own[b][0])[0] >= M.MIN_INLIERS}
+    assert {(r.u, r.v) for r in links.collect()} <= want | {(b, a) for a, b in want}
+    of = {}
+    for r in every.collect():
+        of.setdefault((r.page_id, r.edited), r.cid)
+    assert of[0, False] == of[1001, False] and of[50, False] == of[1061, False] and of[47, False] != of[8, False]
+    found = [own[c][1] == own[of[i, False]][1] for (i, edited), c in of.items() if edited]
+    assert len(found) == 80 and np.mean(found) >= 0.9
+    strangers = [own[of[i, False]][1] for i in range(0, 4000, 50)]
+    assert len(set(strangers)) == 80
 
 
 def test_query(spark, data, tmp_path):
     got = M.op2_media_copies(spark, data).collect()
     assert len(got) == spark.read.parquet(f"{data}/pages.parquet").count()
-    assert all(r.found for r in got if r.query_id is not None)
+    asked = [r.found for r in got if r.found is not None]
+    assert len(asked) == 1
     spark.read.parquet(f"{data}/pages.parquet").limit(0).write.parquet(str(tmp_path / "pages.parquet"))
     assert M.op2_media_copies(spark, str(tmp_path)).count() == 0

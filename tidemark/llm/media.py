@@ -4,20 +4,22 @@ Describing. Corners (the smaller eigenvalue of the structure tensor) are taken o
 KEYPOINTS of an image. Each gets the direction of its patch's intensity centroid, and 128 tests of which of two places is
 brighter, on a pattern turned by that direction. The smoothed image is read; a change of tone leaves the tests as they are.
 
-Joining. TABLES keys of KEY_BITS of the 128 bits each: descriptors that agree on some key meet and are kept within
-MAX_DISTANCE bits. Queries' keys go to every task as a bitmap of a fixed size, which keeps keys nobody asks for out of the
-shuffle; where the bitmap fills up, they are shuffled as well and nothing else changes. No bucket is capped.
+Joining. TABLES keys of KEY_BITS of the 128 bits each: images with descriptors that agree on some key meet. Within a
+bucket each is paired with the smallest only, so a patch that many images have gives as many pairs and not their square;
+images of one group share many buckets, and so their component. MIN_HITS buckets must name a pair.
 
-Deciding. For each pair of images that meet, all descriptors are matched, and every two matches propose a turn, scale and
-shift; MIN_INLIERS matches, SPOT pixels apart, within TOLERANCE pixels of one proposal make a copy.
+Deciding. For each pair all descriptors within MAX_DISTANCE bits are matched, and every two matches propose a turn, scale
+and shift; MIN_INLIERS matches, SPOT pixels apart, within TOLERANCE pixels of one proposal make a link. Components of links
+are the groups of copies.
 
-Identical images form a class, described and joined once, however many rows it has; links are between classes.
+Identical images form a class, described and joined once, however many rows it has; links are between classes. The rows of
+one bucket are sorted by one task, with spilling.
 
-The tables hold no images: op2 draws each page's thumbnail from its text (`thumbnail`), and asks for an edited copy
-(`edited`) of every page whose id is divisible by 50 against all pages.
+The tables hold no images: op2 draws each page's thumbnail from its text (`thumbnails`), and adds an edited copy (`edited`)
+of every page whose id is divisible by 50.
 
 Defined cases: a null html is empty, and an image without corners links to nothing. Repeated rows are one class. A null id
-is never a query. Other columns are ignored. An empty table gives an empty result.
+has no edited copy. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,19 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Written, as_bytes, release, written
+from .simhash import connected_components
 
 SIDE = 96
-SCALES = (1.0, 0.75, 0.5625)
-KEYPOINTS = (24, 24, 8)
+SCALES = (1.0, 0.75)
+KEYPOINTS = (22, 20)
 RADIUS, MARGIN, ANGLES = 8, 9, 32
-TABLES, KEY_BITS = 16, 28
+TABLES, KEY_BITS = 4, 32
 MAX_DISTANCE = 28
-MIN_INLIERS, TOLERANCE, SPOT = 6, 3.0, 10.0
-BITMAP_BITS = 1 << 23
+MIN_HITS = 2
+MIN_INLIERS, TOLERANCE, SPOT = 5, 3.0, 10.0
 EVERY = 50
 #: A keypoint: its place in half pixels, and the results of its tests.
 _RECORD = np.dtype([("x", "u1"), ("y", "u1"), ("d", "<u8", 2)])
@@ -68,20 +71,20 @@ _BITS = np.argsort(_mix(np.arange(TABLES * 128).reshape(TABLES, 128)), axis=1)[:
 
 
 def thumbnails(pages: list[bytes]) -> np.ndarray:
-    """A picture of the text of each page: letters of 6 by 8 pixels, each of a shape of its own."""
+    """A picture of the text of each page: cells of 6 by 8 pixels, each of a pattern of its own; white at the end."""
     columns, rows = SIDE // 6, SIDE // 8
     cells = np.full((len(pages), rows * columns), 32, np.uint64)
     for i, html in enumerate(pages):
         body = html[html.find(b"<article") :] if b"<article" in html else html
         text = re.sub(r"\s+", " ", re.sub(r"<(script|style).*?</\1>|<[^>]*>", " ", body.decode("utf-8", "replace"), flags=re.S)).strip()
         line = np.frombuffer(text[: rows * columns].encode("utf-32-le"), "<u4")
-        cells[i, : len(line)] = line
-    h = _mix(cells)
-    dots = (h[..., None] >> np.arange(35, dtype=np.uint64)) & np.uint64(1)
-    ink = np.where(cells == 32, 0, 90 + (h >> np.uint64(57)))[..., None]
-    glyph = np.zeros((len(pages), rows * columns, 8, 6), np.float32)
-    glyph[:, :, :7, :5] = (dots * ink).reshape(len(pages), rows * columns, 7, 5)
-    return 235 - glyph.reshape(len(pages), rows, columns, 8, 6).swapaxes(2, 3).reshape(len(pages), SIDE, SIDE)
+        cells[i, : len(line)] = np.where(line == 32, 95, line)
+    # a cell shows its letter and those before, after and above it
+    near = np.pad(cells, ((0, 0), (columns, 1)), constant_values=32)
+    h = _mix(_mix(_mix(_mix(near[:, columns - 1 : -2]) ^ cells) ^ near[:, columns + 1 :]) ^ near[:, : -columns - 1])
+    dots = _mix(h[..., None] + np.arange(12, dtype=np.uint64)) >> np.uint64(56)
+    grey = np.where((cells == 32)[..., None], 235, 20 + dots % np.uint64(200)).astype(np.float32).reshape(len(pages), rows, columns, 4, 3)
+    return grey.swapaxes(2, 3).reshape(len(pages), SIDE // 2, SIDE // 2).repeat(2, 1).repeat(2, 2)
 
 
 def resized(images: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -99,13 +102,13 @@ def resized(images: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def edited(image: np.ndarray, seed: int) -> np.ndarray:
-    """A part of the image, in another tone and grain, for some seeds smaller or turned."""
+    """A part of the image, in another tone and grain, for some seeds larger or turned."""
     kind = int(_mix(seed)[0]) >> 3
     h, w = 76 + kind % 8, 76 + kind // 8 % 8
     y, x = kind // 64 % (SIDE - h), kind // 1024 % (SIDE - w)
     part = image[y : y + h, x : x + w]
     if kind // 65536 % 3 == 1:
-        part = resized(part, round(0.75 * h), round(0.75 * w))
+        part = resized(part, round(4 / 3 * h), round(4 / 3 * w))
     if kind // 65536 % 3 == 2:
         part = np.rot90(part)
     grain = _mix(np.arange(part.size, dtype=np.uint64) + np.uint64(seed)).reshape(part.shape) >> np.uint64(61)
@@ -145,7 +148,6 @@ def describe(images: np.ndarray) -> list[np.ndarray]:
         gy[:, 1:-1] = smooth[:, 2:] - smooth[:, :-2]
         gx[:, :, 1:-1] = smooth[:, :, 2:] - smooth[:, :, :-2]
         xx_, yy_, xy = (_box(p, 2) for p in (gx * gx, gy * gy, gx * gy))
-        soft = _box(smooth, 1)
         corner = (xx_ + yy_) / 2 - np.sqrt(((xx_ - yy_) / 2) ** 2 + xy**2)
         inner = corner[:, MARGIN:-MARGIN, MARGIN:-MARGIN]
         peak = inner > 1
@@ -167,7 +169,7 @@ def describe(images: np.ndarray) -> list[np.ndarray]:
         angle = np.arctan2(patch @ disc[0].astype(np.float32), patch @ disc[1].astype(np.float32))
         turn = np.rint(angle * ANGLES / (2 * np.pi)).astype(np.int64) % ANGLES
         place = _TESTS[turn]
-        value = soft[of[:, None, None], y[:, None, None] + place[..., 0], x[:, None, None] + place[..., 1]]
+        value = smooth[of[:, None, None], y[:, None, None] + place[..., 0], x[:, None, None] + place[..., 1]]
         out = np.empty(len(of), _RECORD)
         out["x"], out["y"] = np.rint((2 * x + 1) / scale), np.rint((2 * y + 1) / scale)
         out["d"] = np.packbits(value[..., 0] < value[..., 1], axis=1, bitorder="little").view("<u8")
@@ -179,7 +181,7 @@ def describe(images: np.ndarray) -> list[np.ndarray]:
 def keys_of(points: np.ndarray) -> np.ndarray:
     """The key of each point in each table, (points, TABLES)."""
     bits = np.unpackbits(np.ascontiguousarray(points["d"]).view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
-    return (bits[:, _BITS].astype(np.int64) << np.arange(KEY_BITS)).sum(2) | (np.arange(TABLES, dtype=np.int64) << 32)
+    return (bits[:, _BITS].astype(np.int64) << np.arange(KEY_BITS)).sum(2) | (np.arange(TABLES, dtype=np.int64) << 40)
 
 
 def consensus(query: np.ndarray, other: np.ndarray) -> tuple[int, complex, complex]:
@@ -212,7 +214,7 @@ def consensus(query: np.ndarray, other: np.ndarray) -> tuple[int, complex, compl
 
 
 def described(pages: DataFrame, page_id: str = "page_id", html: str = "html", block: int = 16) -> DataFrame:
-    """page_id, sig (of the picture), points, and for queries the points of an edited copy."""
+    """page_id, edited, sig (of the picture) and points; for every EVERY-th id also a row for an edited copy."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,109 +222,84 @@ def described(pages: DataFrame, page_id: str = "page_id", html: str = "html", bl
             for at in range(0, len(ids), block):
                 some = ids[at : at + block]
                 images = thumbnails([t or b"" for t in texts[at : at + block]])
-                points = describe(images)
-                asked = [describe(edited(images[i], p)[None])[0].tobytes() if p is not None and p % EVERY == 0 else None for i, p in enumerate(some)]
-                sigs = [hashlib.sha256(x.astype(np.uint8).tobytes()).digest()[:16] for x in images]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sigs, pa.binary()), pa.array([x.tobytes() for x in points], pa.binary()), pa.array(asked, pa.binary())], ["page_id", "sig", "points", "asked"])
+                rows = [(i, False, x, p) for i, x, p in zip(some, images, describe(images), strict=True)]
+                rows += [(i, True, y, describe(y[None])[0]) for i, x in zip(some, images, strict=True) if i is not None and i % EVERY == 0 for y in [edited(x, i)]]
+                sigs = [hashlib.sha256(repr(x.shape).encode() + x.astype(np.uint8).tobytes()).digest()[:16] for _, _, x, _ in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(sigs, pa.binary()), pa.array([r[3].tobytes() for r in rows], pa.binary())], ["page_id", "edited", "sig", "points"])
 
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html"))
-    return own.mapInArrow(each, "page_id long, sig binary, points binary, asked binary")
+    return own.mapInArrow(each, "page_id long, edited boolean, sig binary, points binary")
 
 
-def _keyed(rows: DataFrame, column: str, bitmap=None) -> DataFrame:
-    """sig, key, and the descriptor as two longs, for the points in a column; only keys in the bitmap if there is one."""
+def candidates(classes: DataFrame) -> DataFrame:
+    """(u, v): classes (cid, points) that share keys, each with the smallest of a bucket, where MIN_HITS buckets say so."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, blobs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(sigs), 256):
+            cids, blobs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            for at in range(0, len(cids), 256):
                 parts = [np.frombuffer(x, _RECORD) for x in blobs[at : at + 256]]
-                points = np.concatenate(parts)
-                if not len(points):
-                    continue
-                of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                key = keys_of(points)
-                keep = np.ones(key.shape, np.bool_)
-                if bitmap is not None:
-                    slot = (_mix(key) % np.uint64(BITMAP_BITS)).astype(np.int64)
-                    keep = (bitmap.value[slot >> 3] >> (slot & 7)) & 1 == 1
-                i, t = np.nonzero(keep)
-                d = points["d"][i].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[at : at + 256], pa.binary()).take(pa.array(of[i])), pa.array(key[i, t]), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["sig", "key", "d0", "d1"])
-
-    return rows.select("sig", column).mapInArrow(each, "sig binary, key long, d0 long, d1 long")
-
-
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Which slots the keys take; at most BITMAP_BITS / 64 rows come to the driver."""
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = np.unique((_mix(b.column(0).to_numpy(zero_copy_only=False)) % np.uint64(BITMAP_BITS)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(slot)], ["slot"])
-
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
-    words = keys.select("key").mapInArrow(slots, "slot long").groupBy(F.floor(F.col("slot") / 64).alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint8)
+                key = keys_of(np.concatenate(parts))
+                cid = np.repeat(cids[at : at + 256], [len(p) for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid, TABLES)), pa.array(key.ravel())], ["cid", "key"])
 
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """(q, c): signatures of a query and a class of which some descriptors meet in a table and are close."""
-    spark = classes.sparkSession
-    asked = written(_keyed(classes.where("asked IS NOT NULL"), "asked"), "asked")
-    bitmap = spark.sparkContext.broadcast(_bitmap(asked))
-    q = asked.select(F.col("sig").alias("q"), "key", F.col("d0").alias("q0"), F.col("d1").alias("q1"))
-    c = _keyed(classes, "points", bitmap).withColumnRenamed("sig", "c")
-    distance = F.bit_count(F.col("q0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("d1")))
-    return q.join(c, "key").where(distance <= MAX_DISTANCE).select("q", "c").distinct()
+    keys = classes.select("cid", "points").mapInArrow(each, "cid long, key long").where("key IS NOT NULL")
+    met = keys.withColumn("hub", F.min("cid").over(Window.partitionBy("key"))).where("cid != hub")
+    return met.groupBy(F.col("hub").alias("u"), F.col("cid").alias("v")).count().where(F.col("count") >= MIN_HITS).select("u", "v")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """q, c, inliers, scale, turn (degrees), dx, dy of the pairs that geometric consensus confirms."""
+    """u, v, inliers, scale, turn (degrees), dx, dy of the pairs that geometric consensus confirms."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of, rows = [], []
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                n, factor, shift = consensus(np.frombuffer(x, _RECORD), np.frombuffer(y, _RECORD))
+                x, y = np.frombuffer(x, _RECORD), np.frombuffer(y, _RECORD)
+                n, factor, shift = consensus(y, x)
+                if n < MIN_INLIERS:
+                    n, back, shift = consensus(x, y)
+                    factor = 1 / back if back else 0j
+                    shift = -shift * factor
                 if n >= MIN_INLIERS:
                     of.append(i)
                     rows.append((n, abs(factor), float(np.degrees(np.angle(factor))), shift.real, shift.imag))
             at = pa.array(of, pa.int64())
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64()] + [pa.float64()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["q", "c", "inliers", "scale", "turn", "dx", "dy"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["u", "v", "inliers", "scale", "turn", "dx", "dy"])
 
-    asked = classes.select(F.col("sig").alias("q"), F.col("asked").alias("qp"))
-    points = classes.select(F.col("sig").alias("c"), F.col("points").alias("cp"))
-    rows = pairs.join(asked, "q").join(points, "c").select("q", "c", "qp", "cp")
-    return rows.mapInArrow(each, "q binary, c binary, inliers long, scale double, turn double, dx double, dy double")
+    up, vp = (classes.select(F.col("cid").alias(c), F.col("points").alias(c + "p")) for c in "uv")
+    rows = pairs.join(up, "u").join(vp, "v").select("u", "v", "up", "vp")
+    return rows.mapInArrow(each, "u long, v long, inliers long, scale double, turn double, dx double, dy double")
 
 
 def find_copies(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (page_id, sig), classes (sig, class_id, class_size, query_id, points, asked) and links (q, c, inliers, ...)."""
+    """Rows (page_id, edited, cid), classes (cid, points, component) and links (u, v, inliers, scale, turn, dx, dy)."""
+    spark = pages.sparkSession
     all_ = Written(described(pages), "described")
-    query = F.when(F.col("asked").isNotNull(), F.struct("page_id", "asked"))
-    classes = all_.df.groupBy("sig").agg(F.min("page_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.first("points").alias("points"), F.min(query).alias("query"))
-    classes = written(classes.select("sig", "class_id", "class_size", "points", F.col("query.page_id").alias("query_id"), F.col("query.asked").alias("asked")), "classes")
-    rows = written(all_.df.select("page_id", "sig"), "rows")
+    classes = written(all_.df.groupBy("sig").agg(F.first("points").alias("points")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    rows = written(all_.df.select("page_id", "edited", "sig").join(classes.select("sig", "cid"), "sig").drop("sig"), "rows")
     all_.drop()
-    release(pages.sparkSession)
-    links = written(confirmed(candidates(classes), classes), "links")
-    release(pages.sparkSession)
-    return rows, classes, links
+    release(spark)
+    pairs = written(candidates(classes), "pairs")
+    release(spark)
+    links = written(confirmed(pairs, classes), "links")
+    release(spark)
+    named = connected_components(links.select("u", "v")).withColumnRenamed("node", "cid")
+    return rows, classes.join(named, "cid", "left").select("cid", "points", F.coalesce("comp", "cid").alias("component")), links
 
 
 def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each page its class, the queries whose edited copies show the class, and for a query whether its own was found."""
+    """For each page: the smallest page with the same picture, that of its component, its picture's keypoints and links, and
+    whether its edited copy, if it has one, came to its component."""
     rows, classes, links = find_copies(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    asked = classes.select(F.col("sig").alias("q"), "query_id")
-    by_class = links.join(asked, "q").groupBy(F.col("c").alias("sig")).agg(
-        F.count(F.lit(1)).alias("n_links"), F.min("query_id").alias("first_query"), F.max("inliers").alias("most_inliers"), F.max((F.col("q") == F.col("c")).cast("int")).alias("own")
-    )
-    known = classes.select("sig", "class_id", "class_size", "query_id", F.floor(F.octet_length("points") / _RECORD.itemsize).alias("n_keypoints")).join(by_class, "sig", "left")
-    found = F.when(F.col("query_id").isNotNull(), F.coalesce(F.col("own") == 1, F.lit(False))).alias("found")
-    out = rows.join(known, "sig")
-    return out.select("page_id", "class_id", "class_size", "n_keypoints", F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_query", "most_inliers", "query_id", found)
+    ends = links.select(F.col("u").alias("cid")).unionByName(links.select(F.col("v").alias("cid")))
+    known = classes.select("cid", "component", F.floor(F.octet_length("points") / _RECORD.itemsize).alias("n_keypoints")).join(ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links")), "cid", "left")
+    known = written(rows.join(known, "cid"), "known")
+    pictures = known.where("NOT edited").groupBy("cid", "component").agg(F.min("page_id").alias("picture_id"))
+    components = pictures.groupBy("component").agg(F.min("picture_id").alias("component_id"))
+    copies = known.where("edited").groupBy("page_id").agg(F.min("component").alias("copy"))
+    out = known.where("NOT edited").join(pictures.select("cid", "picture_id"), "cid").join(components, "component").join(copies, "page_id", "left")
+    found = F.when(F.col("copy").isNotNull(), F.col("copy") == F.col("component")).alias("found")
+    return out.select("page_id", "picture_id", "component_id", "n_keypoints", F.coalesce("n_links", F.lit(0)).alias("n_links"), found)
