@@ -68,6 +68,24 @@ def test_groups_against_all_pairs(spark):
     assert len(set(strangers)) == 80
 
 
+def test_copies_behind_a_smaller_stranger(spark, images, monkeypatch):
+    """A picture and its copy meet even where unrelated pictures with the same patches have the smaller ids."""
+    page = M.describe(images[:1])[0]
+    copy = page.copy()
+    copy["x"] += 4
+    r = np.random.RandomState(5)
+    strangers = [np.roll(page, 2 * i)[:8].copy() for i in range(len(page) // 2)]
+    for p in strangers:
+        p["x"], p["y"] = r.randint(20, 170, len(p)), r.randint(20, 170, len(p))
+    rows = [(i, False, bytes([i] * 16), p.tobytes()) for i, p in enumerate([*strangers, page, copy])]
+    made = spark.createDataFrame([(i, e, bytearray(s), bytearray(p)) for i, e, s, p in rows], "page_id long, edited boolean, sig binary, points binary")
+    monkeypatch.setattr(M, "described", lambda pages: pages)
+    every, classes, _ = M.find_copies(made)
+    of, own = {x.page_id: x.cid for x in every.collect()}, {x.cid: x.component for x in classes.collect()}
+    assert min(of.values()) not in (of[len(strangers)], of[len(strangers) + 1])
+    assert own[of[len(strangers)]] == own[of[len(strangers) + 1]] and len(set(own.values())) == len(strangers) + 1
+
+
 def test_query(spark, data, tmp_path):
     got = M.op2_media_copies(spark, data).collect()
     assert len(got) == spark.read.parquet(f"{data}/pages.parquet").count()

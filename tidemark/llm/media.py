@@ -4,9 +4,11 @@ Describing. Corners (the smaller eigenvalue of the structure tensor) are taken o
 KEYPOINTS of an image. Each gets the direction of its patch's intensity centroid, and 128 tests of which of two places is
 brighter, on a pattern turned by that direction. The smoothed image is read; a change of tone leaves the tests as they are.
 
-Joining. TABLES keys of KEY_BITS of the 128 bits each: images with descriptors that agree on some key meet. Within a
-bucket each is paired with the smallest only, so a patch that many images have gives as many pairs and not their square;
-images of one group share many buckets, and so their component. MIN_HITS buckets must name a pair.
+Joining. TABLES keys of KEY_BITS of the 128 bits each: images with descriptors that agree on some key meet, and MIN_HITS
+buckets must name a pair. At first each is paired with the smallest of a bucket only, which makes one component of a group
+without its square of pairs. Then every two that still lie in different components are paired, so that in the end any two
+that meet are in one component or were compared: components are those of all pairs. A patch that many unrelated images
+have costs the square of their number.
 
 Deciding. For each pair all descriptors within MAX_DISTANCE bits are matched, and every two matches propose a turn, scale
 and shift; MIN_INLIERS matches, SPOT pixels apart, within TOLERANCE pixels of one proposal make a link. Components of links
@@ -231,23 +233,40 @@ def described(pages: DataFrame, page_id: str = "page_id", html: str = "html", bl
     return own.mapInArrow(each, "page_id long, edited boolean, sig binary, points binary")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(u, v): classes (cid, points) that share keys, each with the smallest of a bucket, where MIN_HITS buckets say so."""
+def _keyed(classes: DataFrame) -> DataFrame:
+    """cid, comp and key, for the keys of classes (cid, comp, points)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cids, blobs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            cids, comps, blobs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
             for at in range(0, len(cids), 256):
                 parts = [np.frombuffer(x, _RECORD) for x in blobs[at : at + 256]]
                 key = keys_of(np.concatenate(parts))
-                cid = np.repeat(cids[at : at + 256], [len(p) for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid, TABLES)), pa.array(key.ravel())], ["cid", "key"])
+                of = np.repeat(np.arange(at, at + len(parts)), [len(p) * TABLES for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(cids[of]), pa.array(comps[of]), pa.array(key.ravel())], ["cid", "comp", "key"])
+
+    return classes.select("cid", "comp", "points").mapInArrow(each, "cid long, comp long, key long").where("key IS NOT NULL")
 
-    keys = classes.select("cid", "points").mapInArrow(each, "cid long, key long").where("key IS NOT NULL")
-    met = keys.withColumn("hub", F.min("cid").over(Window.partitionBy("key"))).where("cid != hub")
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(u, v): classes (cid, points) that share keys, each with the smallest of a bucket, where MIN_HITS buckets say so."""
+    met = _keyed(classes.withColumn("comp", F.col("cid"))).withColumn("hub", F.min("cid").over(Window.partitionBy("key"))).where("cid != hub")
     return met.groupBy(F.col("hub").alias("u"), F.col("cid").alias("v")).count().where(F.col("count") >= MIN_HITS).select("u", "v")
 
 
+def remaining(classes: DataFrame, tried: DataFrame) -> DataFrame:
+    """(u, v), u < v: all classes (cid, comp, points) of different comp that share MIN_HITS keys, without those tried."""
+    at_key = Window.partitionBy("key")
+    # ids in blocks of 4096 at most: a group is one row of a bucket, or a few
+    members = _keyed(classes).groupBy("key", "comp", F.expr("shiftright(cid, 12)").alias("block")).agg(F.collect_set("cid").alias("cids"))
+    mixed = members.withColumns({"lo": F.min("comp").over(at_key), "hi": F.max("comp").over(at_key)}).where("lo != hi")
+    mixed = Written(mixed.select("key", "comp", "cids"), "mixed")
+    a, b = (mixed.df.select("key", F.col("comp").alias(f"{c}_comp"), F.col("cids").alias(f"{c}_cids")) for c in "ab")
+    met = a.join(b, "key").where("a_comp < b_comp").select(F.explode("a_cids").alias("a"), "b_cids").select("a", F.explode("b_cids").alias("b"))
+    met = met.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).count().where(F.col("count") >= MIN_HITS)
+    return met.select("u", "v").join(tried, ["u", "v"], "left_anti")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """u, v, inliers, scale, turn (degrees), dx, dy of the pairs that geometric consensus confirms."""
 
@@ -287,6 +306,12 @@ def find_copies(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = written(confirmed(pairs, classes), "links")
     release(spark)
     named = connected_components(links.select("u", "v")).withColumnRenamed("node", "cid")
+    known = classes.join(named, "cid", "left").select("cid", "points", F.coalesce("comp", "cid").alias("comp"))
+    rest = written(remaining(known, pairs), "rest")
+    release(spark)
+    links = links.unionByName(written(confirmed(rest, classes), "more_links"))
+    release(spark)
+    named = connected_components(links.select("u", "v")).withColumnRenamed("node", "cid")
     return rows, classes.join(named, "cid", "left").select("cid", "points", F.coalesce("comp", "cid").alias("component")), links
 
 
