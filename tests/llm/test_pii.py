@@ -53,6 +53,18 @@ def test_more_kinds(spark):
     assert got[4][0].score > got[5][0].score
 
 
+def test_iban_before_words_and_numbers(spark):
+    """What follows an IBAN after a blank is not taken for a part of it."""
+    de, gb = "DE89370400440532013000", "GB82WEST12345698765432"
+    want = [(f"{de} Bank of X", [de]), ("DE89 3704 0044 0532 0130 00 Please", ["DE89 3704 0044 0532 0130 00"]), (f"{gb} IBAN", [gb]), (f"{gb} 2024", [gb]), (f"{gb} {de}", [gb, de]), (f"KD12 {de} 7", [de]), (f"{de}X", []), (f"{de[:-1]} Bank", [])]
+    got = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, [t for t, _ in want])).collect()}
+    for i, (text, values) in enumerate(want):
+        spans = [s for s in got[i] if s.kind == "iban"]
+        assert [s.value for s in spans] == values and [text[s.start : s.end] for s in spans] == values
+    clean = {r.doc_id: r.text for r in pii.redact(frame(spark, [t for t, _ in want])).collect()}
+    assert clean[0] == "[IBAN] Bank of X" and clean[3] == "[IBAN] 2024"
+
+
 def test_redact(spark):
     docs = cases.documents(spark)
     clean = pii.redact(docs)
