@@ -1,24 +1,31 @@
 """Removal of long repeated strings with suffix arrays (operator 7).
 
 Every byte goes that lies in a string of SPAN bytes which also starts anywhere else, in the same document or another.
+Beside it, passages are counted: longest runs of bytes each WINDOW bytes of which also stand in another document, if they
+hold more than WORDS whole words.
 
-Shards. A window is a string of SPAN bytes. The least hash of its GRAM-byte substrings depends on the window's bytes
-alone, so equal windows have equal ones. Runs of windows with one least hash make a segment; all segments of a hash go
-to one shard, and no repeat is split between shards, however the text is spread. Hashes that stand at one place of the
-corpus only are left out: their windows can't repeat. That is decided on the hashes, about one for 100 bytes of text.
+Shards. A window is a string of WINDOW bytes; equal strings of SPAN bytes start with equal windows. The leftmost of the
+least hashes of a window's GRAM-byte substrings, its anchor, depends on the window's bytes alone, so equal windows have
+equal ones. Windows with one anchor make a segment, which carries the bytes up to SPAN from its last window on; all
+segments of a hash go to one shard, and no repeat is split between shards, however the text is spread. Hashes that stand
+at one place of the corpus only are left out: their windows can't repeat. That is decided on the hashes, about one for 64
+bytes of text.
+
+Hot hashes. Where a hash has more than HOT different segments, its windows are parted by how far they start before the
+anchor, in halves, and each half goes by the hash of all the bytes that its windows have in common; halves that stand
+alone drop out. That is repeated, down to single windows if need be, so that a passage in many contexts is no one's task.
 
 Pre-aggregation. Copies of a text, and of a segment, are told by SHA-256 and count once, with the note that they repeat:
 their windows do. A shard gets what is left: segments that share a hash with different ones.
 
-Suffix arrays. A shard's segments are joined with separators and their suffixes are sorted by induction (suffixes.py),
-with queues in files for shards larger than memory. Windows that share SPAN bytes with a neighbour in that order repeat.
-What is left to the end are the common prefixes: neighbours are compared directly, and no further than SPAN bytes, as
-this question needs no longer ones.
+Suffix arrays. A shard's segments are joined with separators; their suffixes and common prefixes are sorted by external
+induction (suffixes.py), in bounded memory whatever the shard's size. Neighbours with SPAN bytes in common repeat.
 
 Steps end in tables in the shared folder. Texts are shuffled twice, to where their segments and then their spans are.
 
-Defined cases: a null text is empty; what is shorter than SPAN bytes has no windows. Repeated rows are copies of a text
-like any other. Null ids are kept. Other columns are ignored. An empty table gives an empty result.
+Defined cases: a null text is empty; what is shorter than SPAN bytes loses nothing, and what is shorter than WINDOW has no
+passages. Repeated rows are copies of a text like any other. Null ids are kept. Other columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,17 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import as_bytes, release, written
+from .common import Written, as_bytes, release
 
-SPAN, GRAM = 400, 200
+SPAN, WINDOW, GRAM, WORDS = 400, 256, 128, 50
 BLOCK = 1 << 20
 #: Bytes of segments from which a task starts a new shard, at the next hash.
-SHARD = 1 << 21
+SHARD = 1 << 23
+#: Different segments from which a hash is parted.
+HOT = 256
 _R = 0x9E3779B97F4A7C15
 _R_INVERSE = pow(_R, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -75,43 +85,22 @@ def _sliding(op: np.ufunc, a: np.ndarray, width: int, neutral: int) -> np.ndarra
     return op(back[: len(a) - width + 1], ahead[width - 1 : len(a)])
 
 
-def segments(raw: bytes, span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block of a text's windows: hash, first window and number of windows of its segments, and the hashes of
-    the places that are least in some window, once for each place."""
-    n_windows, width = len(raw) - span + 1, span - gram + 1
+def segments(raw: bytes, window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of a text's windows: the hash, first window, number of windows and anchor of its segments."""
+    n_windows, width = len(raw) - window + 1, window - gram + 1
+    place = np.uint64((1 << (BLOCK + window).bit_length()) - 1)
     for a in range(0, max(0, n_windows), BLOCK):
         b = min(n_windows, a + BLOCK)
-        h = _hashes(np.frombuffer(raw, np.uint8, b - a + span - 1, a), gram)
-        least = _sliding(np.minimum, h, width, (1 << 64) - 1)
+        h = _hashes(np.frombuffer(raw, np.uint8, b - a + window - 1, a), gram)
+        least = _sliding(np.minimum, (h & ~place) | np.arange(len(h), dtype=np.uint64), width, (1 << 64) - 1)
         starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        edge = np.zeros(width - 1, np.uint64)
-        chosen = h == _sliding(np.maximum, np.concatenate((edge, least, edge)), width, 0)
-        yield least[starts].view(np.int64), starts + a, np.diff(np.append(starts, b - a)), h[chosen].view(np.int64)
+        anchor = (least[starts] & place).astype(np.int64)
+        yield h[anchor].view(np.int64), starts + a, np.diff(np.append(starts, b - a)), anchor + a
 
 
 # --- shards
 
 
-def repeated_windows(text: np.ndarray, windows: np.ndarray, span: int) -> np.ndarray:
-    """Which of the windows (ascending places in a text of 0 at the end, 1 between segments and bytes plus 2) share span
-    bytes with another."""
-    is_window = np.zeros(len(text), np.bool_)
-    is_window[windows] = True
-    order = suffixes.suffix_array(text, 258)
-    order = np.concatenate([(x := order[a : a + BLOCK])[is_window[x]] for a in range(0, len(order), BLOCK)])
-    data = np.empty(len(text), np.uint8)
-    data[:] = np.asarray(text) - 2
-    step = 8 if span >= 8 else 1
-    words = np.ndarray((len(data) - step + 1,), "<u8" if step == 8 else np.uint8, data, strides=(1,))
-    same = np.arange(len(order) - 1)
-    for offset in [*range(0, span - step + 1, step), span - step]:
-        same = same[words[order[same] + offset] == words[order[same + 1] + offset]]
-    found = np.zeros(len(text), np.bool_)
-    found[order[same]] = True
-    found[order[same + 1]] = True
-    return found[windows]
-
-
 def _ranges(flags: np.ndarray) -> list[dict]:
     """The runs of true flags."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).tolist()
@@ -121,59 +110,148 @@ def _ranges(flags: np.ndarray) -> list[dict]:
 class _Shard:
     """Segments in a file, until they are sorted."""
 
-    def __init__(self, span: int):
-        self.span, self.file, self.size, self.parts = span, tempfile.TemporaryFile(), 0, []
+    def __init__(self, span: int, window: int):
+        self.span, self.window = span, window
+        self.file, self.size, self.keys, self.starts, self.windows, self.owners = tempfile.TemporaryFile(), 0, [], [], [], []
 
-    def add(self, segment: bytes, key: tuple) -> None:
+    def add(self, segment: bytes, n: int, owner: int | None, key: tuple) -> None:
+        """n windows of a text; no owner: it stands in several."""
         symbols = np.frombuffer(segment, np.uint8).astype(np.uint16) + 2
         self.file.write(np.append(symbols, np.uint16(1)).tobytes())
-        self.parts.append((self.size, len(segment) - self.span + 1, key))
+        self.keys.append(key)
+        self.starts.append(self.size)
+        # what starts nearer to the end than span bytes runs into the separator
+        self.windows.append((n, max(0, min(n, len(segment) - self.span + 1))))
+        self.owners.append(-len(self.keys) if owner is None else owner)
         self.size += len(segment) + 1
 
-    def repeats(self) -> list[tuple[tuple, list[dict]]]:
-        """The ranges of repeated windows of each segment that has some."""
+    def _passed(self, blocks: Iterator[np.ndarray], repeats: np.ndarray, shared: np.ndarray) -> None:
+        """Mark places that share SPAN bytes with the one taken before or after them, and WINDOW bytes with one of another
+        owner that was taken before them."""
+        starts, owners = np.array(self.starts), np.array(self.owners)
+        owner = last = -1
+        mixed = False
+        for _, at, lcp in blocks:
+            own = owners[np.searchsorted(starts, at, side="right") - 1]
+            same = lcp >= self.span
+            repeats[at[same]] = True
+            before = np.concatenate(([last], at[:-1]))
+            repeats[before[same]] = True
+            # groups of one window: the owner of the first, and whether there was another one since
+            new = np.flatnonzero(lcp < self.window)
+            of = np.searchsorted(new, np.arange(len(at)), side="right")
+            first = np.concatenate(([owner], own[new]))[of]
+            other = own != first
+            seen = np.cumsum(other)
+            base = np.concatenate(([0], seen[new] - other[new]))[of]
+            among = (seen - base > 0) | ((of == 0) & mixed)
+            shared[at[among]] = True
+            owner, last, mixed = int(first[-1]), int(at[-1]), bool(among[-1])
+
+    def marked(self) -> list[tuple[tuple, list[dict], list[dict]]]:
+        """The ranges of repeated windows, and of those shared with others, of each segment that has some."""
         self.file.write(np.zeros(1, np.uint16).tobytes())
         self.file.seek(0)
-        small = 2 * self.size <= suffixes.IN_MEMORY
-        text = np.frombuffer(self.file.read(), np.uint16) if small else np.memmap(self.file, np.uint16, "r")
-        windows = np.concatenate([np.arange(at, at + n) for at, n, _ in self.parts])
-        found = repeated_windows(text, windows, self.span)
-        ends = np.cumsum([n for _, n, _ in self.parts])
-        marked = [(key, _ranges(found[to - n : to])) for to, (_, n, key) in zip(ends.tolist(), self.parts, strict=True)]
+        text = np.asarray(np.memmap(self.file, np.uint16, "r"))
+        repeats, shared, back = suffixes.mapped(len(text), "?"), suffixes.mapped(len(text), "?"), suffixes.Tape()
+
+        is_window = suffixes.mapped(len(text), "?")
+        for a, (n, _) in zip(self.starts, self.windows, strict=True):
+            is_window[a : a + n] = True
+
+        def kept() -> Iterator[np.ndarray]:
+            low = self.span
+            for rows in suffixes.suffixes(text, 258, self.span):
+                # only windows count: what follows them in a segment is in others too
+                at = np.flatnonzero(is_window[rows[suffixes.AT]])
+                lcp = rows[suffixes.LCP]
+                if not len(at):
+                    low = min(low, int(lcp.min()))
+                    continue
+                least = np.minimum.reduceat(lcp[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
+                least[0] = min(low, int(least[0]))
+                low = int(lcp[at[-1] + 1 :].min(initial=self.span))
+                rows = rows[:, at]
+                rows[suffixes.LCP] = least
+                # what shares no window with either neighbour says nothing
+                near = least >= self.window
+                near[:-1] |= near[1:]
+                near[-1] = True
+                back.put(rows[:, near])
+                yield rows[:, near]
+
+        def turned() -> Iterator[np.ndarray]:
+            while (rows := back.peek(suffixes.BLOCK)).shape[1]:
+                back.skip(rows.shape[1])
+                yield rows
+
+        self._passed(kept(), repeats, shared)
+        self._passed(turned(), repeats, shared)
         self.file.close()
-        return [(key, r) for key, r in marked if r]
+        found = ((key, _ranges(repeats[a : a + long]), _ranges(shared[a : a + n])) for key, a, (n, long) in zip(self.keys, self.starts, self.windows, strict=True))
+        return [x for x in found if x[1] or x[2]]
 
 
 _RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+_SQL_RANGES = "array<struct<lo:long,hi:long>>"
+
+
+def _digest(segment: bytes, n: int) -> bytes:
+    """Of a segment's bytes and its number of windows."""
+    return hashlib.sha256(b"%d " % n + segment).digest()
 
 
-def _sorted_shards(rows: DataFrame, span: int) -> DataFrame:
-    """v, dig, ranges of repeated windows, for rows (v, dig, segment) that lie by v."""
+def _sorted_shards(rows: DataFrame, span: int, window: int) -> DataFrame:
+    """v, dig, ranges of windows that repeat and of those that other texts share, for rows (v, dig, n, owner, segment) that
+    lie by v."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("v", pa.int64()), ("dig", pa.binary()), ("ranges", _RANGES)])
+        schema = pa.schema([("v", pa.int64()), ("dig", pa.binary()), ("ranges", _RANGES), ("shared", _RANGES)])
 
         def done(shard: _Shard) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"v": v, "dig": d, "ranges": r} for (v, d), r in shard.repeats()], schema)
+            return pa.RecordBatch.from_pylist([{"v": v, "dig": d, "ranges": r, "shared": s} for (v, d), r, s in shard.marked()], schema)
 
-        shard, last = _Shard(span), None
+        shard, last = _Shard(span, window), None
         for b in batches:
-            for v, d, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for v, d, n, owner, s in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if v != last and shard.size > SHARD:
                     yield done(shard)
-                    shard = _Shard(span)
-                shard.add(s, (v, d))
+                    shard = _Shard(span, window)
+                shard.add(s, n, owner, (v, d))
                 last = v
         if shard.size:
             yield done(shard)
 
-    return rows.mapInArrow(each, "v long, dig binary, ranges array<struct<lo:long,hi:long>>")
+    return rows.mapInArrow(each, f"v long, dig binary, ranges {_SQL_RANGES}, shared {_SQL_RANGES}")
+
+
+def _halved(parts: DataFrame, span: int, window: int) -> DataFrame:
+    """Each part's windows in two: those that start far before the anchor and those that start near it. Parts are v, dig,
+    root_v, root_dig, shift (from the root's first window), n, long, anchor (from the part's), lo, hi (distances), owner and
+    segment; v of a half is a hash of what its windows have in common."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                half = (r["lo"] + r["hi"]) // 2
+                cut = min(max(r["anchor"] - half + 1, 0), r["n"])
+                for a, to, lo, hi in ((0, cut, half, r["hi"]), (cut, r["n"], r["lo"], half)):
+                    if a < to:
+                        segment, anchor = r["segment"][a : to - 1 + span], r["anchor"] - a
+                        common = segment[anchor - lo : anchor - hi + 1 + window]
+                        v = xxhash.xxh64_intdigest(common, (r["root_v"] ^ lo << 16 ^ hi) & (1 << 64) - 1)
+                        new = {"v": v - (1 << 64 if v >> 63 else 0), "dig": _digest(segment, to - a), "shift": r["shift"] + a, "n": to - a, "long": max(0, min(to - a, r["long"] - a)), "anchor": anchor, "lo": lo, "hi": hi, "segment": segment}
+                        out.append(r | new)
+            yield pa.RecordBatch.from_pylist(out, b.schema)
+
+    return parts.mapInArrow(each, parts.schema)
 
 
 # --- steps
 
 
-def _scanned(docs: DataFrame, span: int, gram: int) -> DataFrame:
+def _scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """row (a number of its own), doc_id, sha, n_bytes, and the hashes: once each, and those that stand twice."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -185,8 +263,9 @@ def _scanned(docs: DataFrame, span: int, gram: int) -> DataFrame:
             shas, sizes, hashes, twice = [], [], [], []
             for t in as_bytes(b, "text"):
                 t = t or b""
-                places = [x[3] for x in segments(t, span, gram)]
-                value, n = np.unique(np.concatenate(places), return_counts=True) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                value, _, _, anchor = map(np.concatenate, zip(*segments(t, window, gram), strict=True)) if len(t) >= window else [np.zeros(0, np.int64)] * 4
+                # a block may start with the anchor that the one before ends with
+                value, n = np.unique(value[np.unique(anchor, return_index=True)[1]], return_counts=True)
                 shas.append(hashlib.sha256(t).digest())
                 sizes.append(len(t))
                 hashes.append(value)
@@ -197,11 +276,12 @@ def _scanned(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(each, f"row long, doc_id {kind}, sha binary, n_bytes long, hashes array<long>, twice array<long>")
 
 
-def _segments(placed: DataFrame, span: int, gram: int) -> DataFrame:
-    """row, start, n, v, dig, twice, segment: the segments of texts (text, row, hashes, twice) with one of the hashes."""
+def _segments(placed: DataFrame, span: int, window: int, gram: int) -> DataFrame:
+    """row, v, dig, n, long (windows with span bytes), anchor (from the first window), starts, segment: the different segments
+    of texts (text, row, hashes) with one of the hashes, and where they start."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("dig", pa.binary()), ("twice", pa.bool_()), ("segment", pa.binary())])
+        schema = pa.schema([("row", pa.int64()), ("v", pa.int64()), ("dig", pa.binary()), ("n", pa.int64()), ("long", pa.int64()), ("anchor", pa.int64()), ("starts", pa.list_(pa.int64())), ("segment", pa.binary())])
         out: list[tuple] = []
         size = 0
 
@@ -210,98 +290,166 @@ def _segments(placed: DataFrame, span: int, gram: int) -> DataFrame:
 
         for b in batches:
             for i, t in enumerate(as_bytes(b, "text")):
-                row, wanted, twice = b.column(1)[i].as_py(), set(b.column(2)[i].as_py()), set(b.column(3)[i].as_py() or ())
-                for value, start, n, _ in segments(t, span, gram):
-                    for v, s, k in zip(value.tolist(), start.tolist(), n.tolist(), strict=True):
-                        if v in wanted:
-                            segment = t[s : s + k + span - 1]
-                            out.append((row, s, k, v, hashlib.sha256(segment).digest(), v in twice, segment))
-                            size += len(segment)
-                            if size > BLOCK:
-                                yield batch()
-                                out, size = [], 0
+                row, wanted = b.column(1)[i].as_py(), np.array(b.column(2)[i].as_py(), np.int64)
+                found: dict[tuple, list[int]] = {}
+                for value, start, n, anchor in segments(t, window, gram):
+                    at = np.flatnonzero(np.isin(value, wanted))
+                    for v, s, k, a in zip(value[at].tolist(), start[at].tolist(), n[at].tolist(), anchor[at].tolist(), strict=True):
+                        segment = t[s : s + k - 1 + span]
+                        key = v, _digest(segment, k), k, max(0, min(k, len(segment) - span + 1)), a - s
+                        found.setdefault(key, []).append(s)
+                for key, starts in found.items():
+                    segment = t[starts[0] : starts[0] + key[2] - 1 + span]
+                    out.append((row, *key, starts, segment))
+                    size += len(segment) + 8 * len(starts)
+                    if size > BLOCK:
+                        yield batch()
+                        out, size = [], 0
         if out:
             yield batch()
 
-    return placed.select("text", "row", "hashes", "twice").mapInArrow(each, "row long, start long, n long, v long, dig binary, twice boolean, segment binary")
-
-
-def _cut(found: DataFrame, span: int, kind: str) -> DataFrame:
-    """The result, from doc_id, text, whole (all of it goes) and ranges of windows."""
-
-    def one(text: bytes, whole: bool | None, ranges: list[dict] | None) -> tuple:
-        if whole:
-            spans = [[0, len(text)]]
-        else:
-            spans = []
-            for lo, hi in sorted((r["lo"], r["hi"] + span - 1) for r in ranges or ()):
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                else:
-                    spans.append([lo, hi])
+    return placed.select("text", "row", "hashes").mapInArrow(each, "row long, v long, dig binary, n long, long long, anchor long, starts array<long>, segment binary")
+
+
+def _cut(found: DataFrame, span: int, window: int, words: int, kind: str) -> DataFrame:
+    """The result, from doc_id, text, whole (it has a copy), ranges of repeated and of shared windows."""
+
+    def joined(ranges: list[dict] | None, width: int) -> list[list[int]]:
+        spans: list[list[int]] = []
+        for lo, hi in sorted((r["lo"], r["hi"] + width - 1) for r in ranges or ()):
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], hi)
+            else:
+                spans.append([lo, hi])
+        return spans
+
+    def n_words(text: bytes, lo: int, hi: int) -> int:
+        """The whole words of a part."""
+        part = text[lo:hi]
+        torn = lo > 0 and not text[lo - 1 : lo + 1].isspace() and text[lo - 1 : lo].strip() and part[:1].strip()
+        torn_end = hi < len(text) and text[hi : hi + 1].strip() and part[-1:].strip()
+        return max(0, len(part.split()) - bool(torn) - bool(torn_end))
+
+    def one(text: bytes, whole: bool | None, ranges: list[dict] | None, shared: list[dict] | None) -> tuple:
+        everything = [[0, len(text)]]
+        spans = (everything if len(text) >= span else []) if whole else joined(ranges, span)
+        runs = (everything if len(text) >= window else []) if whole else joined(shared, window)
+        counts = [n for n in (n_words(text, lo, hi) for lo, hi in runs) if n > words]
         kept, at = hashlib.sha256(), 0
         for lo, hi in spans:
             kept.update(text[at:lo])
             at = hi
         kept.update(text[at:])
-        return len(text), sum(hi - lo for lo, hi in spans), len(spans), kept.hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in spans]
+        removed = [{"lo": lo, "hi": hi} for lo, hi in spans]
+        return len(text), sum(hi - lo for lo, hi in spans), len(spans), kept.hexdigest(), len(counts), max(counts, default=0), removed
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), _RANGES]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), _RANGES]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words", "removed"]
         for b in batches:
-            rows = [one(t or b"", w, r) for t, w, r in zip(as_bytes(b, "text"), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            rows = [one(t or b"", *x) for t, *x in zip(as_bytes(b, "text"), *(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
-
-    return found.select("doc_id", "text", "whole", "ranges").mapInArrow(each, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>")
-
-
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ranges of every document."""
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    return found.select("doc_id", "text", "whole", "ranges", "shared").mapInArrow(each, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long, removed {_SQL_RANGES}")
+
+
+def _parted(parts: DataFrame, span: int, window: int, tables: list[Written]) -> tuple[DataFrame, DataFrame | None]:
+    """Parts of hashes that are not hot, and what comes of the others: they are halved until they are not, or are single
+    windows (`single`)."""
+    cold = halves = None
+    while True:
+        hot = Written(parts.groupBy("v").agg(F.count_distinct("dig").alias("k"), F.max(F.col("hi") - F.col("lo")).alias("far")).where(F.col("k") > HOT), "hot")
+        tables.append(hot)
+        settled = parts.join(hot.df, "v", "left_anti").withColumn("single", F.lit(False))
+        settled = settled.unionByName(parts.join(hot.df.where("far <= 1"), "v", "left_semi").withColumn("single", F.lit(True)))
+        if cold is None:
+            cold = settled
+        else:
+            halves = settled if halves is None else halves.unionByName(settled)
+        more = hot.df.where("far > 1")
+        if more.isEmpty():
+            return cold, halves
+        made = Written(_halved(parts.join(more, "v", "left_semi"), span, window), "halves")
+        tables.append(made)
+        # what stands alone does not repeat
+        met = made.df.groupBy("v").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("v")
+        parts = made.df.join(met, "v", "left_semi")
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, window: int = WINDOW, gram: int = GRAM, words: int = WORDS) -> DataFrame:
+    """For every document doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ranges; and n_passages and
+    passage_words, the passages of over `words` words that other documents share and the words of the longest."""
+    if not gram <= window <= span:
+        raise ValueError("gram <= window <= span is needed")
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    scanned = written(_scanned(docs, span, gram), "scanned")
-    texts = written(scanned.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "doc_id")).alias("first"), F.first("n_bytes").alias("n_bytes")).select("sha", "copies", "first.row", F.col("first.doc_id").alias("first_id"), "n_bytes"), "texts")
+    scanned = Written(_scanned(docs, window, gram), "scanned")
+    texts = Written(scanned.df.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "doc_id")).alias("first"), F.first("n_bytes").alias("n_bytes")).select("sha", "copies", "first.row", F.col("first.doc_id").alias("first_id"), "n_bytes"), "texts")
     # hashes at two places at least: of different texts, or twice in one
-    places = scanned.select("row", F.substring("sha", 1, 8).alias("s"), F.explode("hashes").alias("v"))
+    places = scanned.df.select("row", F.substring("sha", 1, 8).alias("s"), F.explode("hashes").alias("v"))
     places = places.select("row", F.conv(F.hex("s"), 16, -10).cast("long").alias("s"), "v")
     shared = places.groupBy("v").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a != b").select("v")
-    shared = written(shared.unionByName(scanned.select(F.explode("twice").alias("v"))).distinct(), "shared")
-    by_row = places.select("row", "v").join(shared, "v", "left_semi").groupBy("row").agg(F.collect_list("v").alias("hashes"))
-    wanted = by_row.join(scanned.select("row", "twice"), "row").join(texts, "row").select("sha", "row", "first_id", "hashes", "twice")
-    wanted = written(wanted, "wanted")
+    shared = Written(shared.unionByName(scanned.df.select(F.explode("twice").alias("v"))).distinct(), "shared")
+    by_row = places.select("row", "v").join(shared.df, "v", "left_semi").groupBy("row").agg(F.collect_list("v").alias("hashes"))
+    wanted = Written(by_row.join(texts.df, "row").select("sha", "row", "first_id", "hashes"), "wanted")
+    scanned.drop()
+    shared.drop()
     release(spark)
 
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    placed = own.join(wanted, (own["sha"] == wanted["sha"]) & own["doc_id"].eqNullSafe(wanted["first_id"]))
-    pieces = written(_segments(placed, span, gram), "segments")
+    placed = own.join(wanted.df, (own["sha"] == wanted.df["sha"]) & own["doc_id"].eqNullSafe(wanted.df["first_id"]))
+    pieces = Written(_segments(placed, span, window, gram), "segments")
+    wanted.drop()
     release(spark)
 
     # equal segments count once; those at two places repeat as a whole
-    at = F.struct("row", "start")
-    kinds = pieces.groupBy("v", "dig").agg(F.min(at).alias("at"), F.max(at).alias("last"), F.max("twice").alias("twice"), F.first("n").alias("n"))
-    kinds = written(kinds.select("v", "dig", "at.row", "at.start", "n", "twice", (F.col("at") != F.col("last")).alias("copied")), "kinds")
-    unsure = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("k"), F.count(F.when(~F.col("copied"), 1)).alias("single"), F.max("twice").alias("own"))
-    unsure = unsure.where("single > 0 AND (k > 1 OR own)").select("v")
-    chosen = kinds.join(unsure, "v", "left_semi").select("row", "start", "v", "dig")
-    rows = pieces.select("row", "start", "v", "segment").join(chosen, ["row", "start", "v"]).select("v", "dig", "segment")
+    kinds = pieces.df.groupBy("v", "dig").agg(F.min("row").alias("row"), F.max("row").alias("last"), F.sum(F.size("starts")).alias("places"), F.first("n").alias("n"), F.first("long").alias("long"))
+    owner = F.when(F.col("row") == F.col("last"), F.col("row")).alias("owner")
+    kinds = Written(kinds.select("v", "dig", "row", "n", "long", owner, (F.col("places") > 1).alias("copied")), "kinds")
+    unsure = kinds.df.groupBy("v").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("owner").isNotNull()).alias("open")).where("k > 1 AND open").select("v")
+    chosen = kinds.df.join(unsure, "v", "left_semi").select("row", "v", "dig", "owner")
+    root = F.col("v").alias("root_v"), F.col("dig").alias("root_dig"), F.lit(0).cast("long").alias("shift")
+    far = F.lit(0).cast("long").alias("lo"), F.lit(window - gram + 1).cast("long").alias("hi")
+    parts = pieces.df.select("row", "v", "dig", "n", "long", "anchor", "segment").join(chosen, ["row", "v", "dig"]).select("v", "dig", *root, "n", "long", "anchor", *far, "owner", "segment")
+    tables: list[Written] = [Written(parts, "parts")]
+    cold, halves = _parted(tables[0].df, span, window, tables)
+    rows = cold.select("v", "dig", "n", "owner", "segment")
+    one = F.when((F.min("owner") == F.max("owner")) & (F.count("owner") == F.count(F.lit(1))), F.min("owner"))
+    if halves is not None:
+        rows = rows.unionByName(halves.where("NOT single").groupBy("v", "dig").agg(F.first("n").alias("n"), one.alias("owner"), F.first("segment").alias("segment")))
     # sorting takes long for its bytes: a number that is given is not merged into fewer, larger tasks
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "v").sortWithinPartitions("v")
-    marked = written(_sorted_shards(rows, span), "marked")
+    marked = Written(_sorted_shards(rows, span, window), "marked")
     release(spark)
 
+    # what was found of parts goes to their roots
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
-    copied = kinds.where("copied").select("v", "dig", whole.alias("ranges"))
-    alone = marked.join(kinds.where("copied").select("v", "dig"), ["v", "dig"], "left_anti")
-    windows = pieces.select("row", "start", "v", "dig").join(copied.unionByName(alone), ["v", "dig"])
-    windows = windows.select("row", F.expr("transform(ranges, r -> struct(r.lo + start AS lo, r.hi + start AS hi))").alias("ranges"))
-    by_row = windows.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    goes = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
-    spans = texts.join(by_row, "row", "left").select("sha", goes.alias("whole"), F.when(~goes, F.col("ranges")).alias("ranges")).where("whole OR ranges IS NOT NULL")
-    spans = written(spans, "spans")
+    whole_long = F.when(F.col("long") > 0, F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("long").alias("hi"))))
+    found = kinds.df.where("copied").select("v", "dig", whole_long.alias("ranges"), F.when(F.col("owner").isNull(), whole).alias("shared"))
+    if halves is None:
+        found = found.unionByName(marked.df)
+    else:
+        found = found.unionByName(marked.df.join(cold.select("v", "dig"), ["v", "dig"], "left_semi"))
+        equal = halves.groupBy("v", "dig").agg(F.count(F.lit(1)).alias("k"), one.alias("owner"), F.first("n").alias("n"), F.first("long").alias("long")).where("k > 1")
+        equal = equal.select("v", "dig", whole_long.alias("ranges"), F.when(F.col("owner").isNull(), whole).alias("shared"))
+        # hot single windows: all parts of a hash are one window
+        window_of = halves.where("single").groupBy("v").agg(one.alias("owner")).where("owner IS NULL").select("v")
+        alike = halves.where("single").select("v", "dig", "n").distinct().join(window_of, "v").select("v", "dig", F.lit(None).cast(_SQL_RANGES).alias("ranges"), whole.alias("shared"))
+        moved = halves.select("v", "dig", "root_v", "root_dig", "shift").join(marked.df.unionByName(equal).unionByName(alike), ["v", "dig"])
+        shifted = [F.expr(f"transform({c}, r -> struct(r.lo + shift AS lo, r.hi + shift AS hi))").alias(c) for c in ("ranges", "shared")]
+        found = found.unionByName(moved.select(F.col("root_v").alias("v"), F.col("root_dig").alias("dig"), *shifted))
+    windows = pieces.df.select("row", "starts", "v", "dig").join(found, ["v", "dig"])
+    placed_at = [F.expr(f"flatten(transform(starts, s -> transform({c}, r -> struct(r.lo + s AS lo, r.hi + s AS hi))))").alias(c) for c in ("ranges", "shared")]
+    by_row = windows.select("row", *placed_at).groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "shared")))
+    spans = texts.df.join(by_row, "row", "left").select("sha", (F.col("copies") > 1).alias("whole"), *(F.when(F.col("copies") == 1, F.col(c)).alias(c) for c in ("ranges", "shared")))
+    spans = Written(spans.where("whole OR ranges IS NOT NULL"), "spans")
+    for t in (pieces, kinds, texts, marked, *tables):
+        t.drop()
     release(spark)
-    return _cut(own.join(spans, "sha", "left"), span, kind)
+    return _cut(own.join(spans.df, "sha", "left"), span, window, words, kind)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats over all documents; the removed ranges stay behind."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("removed")
