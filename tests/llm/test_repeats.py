@@ -10,29 +10,35 @@ from tidemark.llm import repeats as R
 from tidemark.llm import suffixes as S
 
 
-def brute(rows, span, window, words):
+def brute(rows, span):
     texts = [(d, (t or "").encode()) for d, t in rows]
     n = collections.Counter(b[i : i + span] for _, b in texts for i in range(len(b) - span + 1))
-    of = collections.Counter(w for k, (_, b) in enumerate(texts) for w in {b[i : i + window] for i in range(len(b) - window + 1)})
     out = []
     for d, b in texts:
-        gone, shared = bytearray(len(b)), bytearray(len(b))
+        gone = bytearray(len(b))
         for i in range(len(b) - span + 1):
             if n[b[i : i + span]] > 1:
                 gone[i : i + span] = b"\1" * span
-        for i in range(len(b) - window + 1):
-            if of[b[i : i + window]] > 1:
-                shared[i : i + window] = b"\1" * window
         left = bytes(x for x, g in zip(b, gone) if not g)
-        places = [(m.start(), m.end()) for m in re.finditer(rb"\S+", b)]
-        runs = [m.span() for m in re.finditer(b"\1+", bytes(shared))]
-        inside = [k for lo, hi in runs if (k := sum(lo <= x and y <= hi for x, y in places)) > words]
-        out.append((d, len(b), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x), hashlib.sha256(left).hexdigest(), len(inside), max(inside, default=0)))
+        out.append((d, len(b), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x), hashlib.sha256(left).hexdigest()))
     return sorted(out, key=repr)
 
 
+def longest_shared(rows):
+    """For each row the longest string that another row has too."""
+    texts = [(t or "").encode() for _, t in rows]
+    out = []
+    for i, b in enumerate(texts):
+        rest, best = b"\0".join(texts[:i] + texts[i + 1 :]), 0
+        for at in range(len(b)):
+            while at + best < len(b) and b[at : at + best + 1] in rest:
+                best += 1
+        out.append(best)
+    return out
+
+
 def got(df, *spans):
-    return sorted((tuple(r)[:7] for r in R.remove_repeats(df, *spans).collect()), key=repr)
+    return sorted((tuple(r)[:5] for r in R.remove_repeats(df, *spans).collect()), key=repr)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -45,7 +51,7 @@ def test_small_texts(spark, seed, monkeypatch):
     monkeypatch.setattr(R, "SHARD", [50, 1 << 22][seed % 2])
     monkeypatch.setattr(R, "HOT", [1 << 20, 4, 3, 1 << 20][seed])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert got(df, 12, 8, 4, 1) == brute(rows, 12, 8, 1)
+    assert got(df, 12, 8, 4, 3) == brute(rows, 12)
 
 
 def test_hot_passage(spark, monkeypatch):
@@ -55,17 +61,21 @@ def test_hot_passage(spark, monkeypatch):
     passage = " ".join(word() for _ in range(12))
     rows = [(i, " ".join([word() for _ in range(4)] + ([passage[: r.choice([30, 45, 99])]] if i % 4 else []) + [word() for _ in range(4)])) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute(rows, 30, 20, 2)
+    want = brute(rows, 30)
     assert sum(x[2] > 0 for x in want) > 60
-    for hot in (1, 8, 1 << 20):
+    long = dict(zip((i for i, _ in rows), longest_shared(rows)))
+    for r_ in R.remove_repeats(df, 30, 20, 8, 9).collect():
+        # a shared window gives a passage; without a shared anchor there is none
+        assert r_.n_passages > 0 if long[r_.doc_id] >= 20 else long[r_.doc_id] >= 8 or r_.n_passages == 0
+    for hot in (1, 1 << 20):
         monkeypatch.setattr(R, "HOT", hot)
-        assert got(df, 30, 20, 8, 2) == want
+        assert got(df, 30, 20, 8, 9) == want
 
 
 def test_cases(spark):
     rows = [(r[0], r[1]) for r in cases.rows(n=12) if r[1] is None or len(r[1]) < 60_000]
     df = cases.documents(spark, n=12).where("text IS NULL OR length(text) < 60000")
-    assert got(df) == brute(rows, R.SPAN, R.WINDOW, R.WORDS)
+    assert got(df) == brute(rows, R.SPAN)
     assert R.remove_repeats(cases.empty(spark)).count() == 0
 
 
@@ -80,12 +90,14 @@ def test_suffixes_and_common_prefixes(memory, block, bins, monkeypatch):
         t = [r.randint(1, a) for _ in range(r.randint(1, 80))]
         t = [t, t[: len(t) // 3] * 3 + t[:9], t[:20] + [1] * r.randint(0, 30) + t[:20]][seed % 3] + [0]
         cap = r.choice([3, 10, 1000])
-        rows = np.concatenate(list(S.suffixes(np.array(t, np.int32), a + 1, cap)), axis=1)
+        weight = np.array([1] + [r.choice([1, 1, 4]) for _ in range(a)], np.int32)
+        rows = np.concatenate(list(S.suffixes(np.array(t, np.int32), a + 1, cap, weight)), axis=1)
         order = sorted(range(len(t)), key=lambda i: t[i:], reverse=True)
         assert rows[S.AT].tolist() == order
         assert rows[S.LCP, 0] == 0
         for i, j, n in zip(order, order[1:], rows[S.LCP, 1:].tolist()):
-            assert n == next((k for k in range(cap) if t[i + k] != t[j + k]), cap)
+            k = next(k for k in range(len(t)) if t[i + k] != t[j + k])
+            assert n == min(cap, sum(weight[t[i : i + k]]))
 
 
 def test_queue_in_bounded_memory(monkeypatch):

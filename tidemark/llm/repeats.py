@@ -1,31 +1,33 @@
 """Removal of long repeated strings with suffix arrays (operator 7).
 
 Every byte goes that lies in a string of SPAN bytes which also starts anywhere else, in the same document or another.
-Beside it, passages are counted: longest runs of bytes each WINDOW bytes of which also stand in another document, if they
-hold more than WORDS whole words.
 
-Shards. A window is a string of WINDOW bytes; equal strings of SPAN bytes start with equal windows. The leftmost of the
-least hashes of a window's GRAM-byte substrings, its anchor, depends on the window's bytes alone, so equal windows have
-equal ones. Windows with one anchor make a segment, which carries the bytes up to SPAN from its last window on; all
-segments of a hash go to one shard, and no repeat is split between shards, however the text is spread. Hashes that stand
-at one place of the corpus only are left out: their windows can't repeat. That is decided on the hashes, about one for 64
-bytes of text.
+Anchors. The leftmost of the least hashes of the GRAM-byte substrings of any WINDOW bytes depends on those bytes alone.
+Equal strings of SPAN bytes start with equal windows, and so have equal anchors at equal places. Hashes that stand at one
+anchor of the corpus only are left out; that is decided on the hashes, about one for 50 bytes of text.
 
-Hot hashes. Where a hash has more than HOT different segments, its windows are parted by how far they start before the
-anchor, in halves, and each half goes by the hash of all the bytes that its windows have in common; halves that stand
-alone drop out. That is repeated, down to single windows if need be, so that a passage in many contexts is no one's task.
+Parts. The strings of SPAN bytes with one anchor are parted by how far they start before it, STEP distances at a time. All
+strings of a part have a block of bytes in common; equal strings have equal blocks, and the block's hash says to which
+shard a part goes. So no repeat is split between shards, however the text is spread, and of a part's text only the few
+bytes before and after its block travel. Parts that are equal count once and repeat; parts alone with their block do not.
 
-Pre-aggregation. Copies of a text, and of a segment, are told by SHA-256 and count once, with the note that they repeat:
-their windows do. A shard gets what is left: segments that share a hash with different ones.
+Hot blocks. Where a block has more than HOT different parts, each is parted in two again, whose blocks are longer, down to
+single strings if need be, so that a passage in many contexts is no one's task.
 
-Suffix arrays. A shard's segments are joined with separators; their suffixes and common prefixes are sorted by external
-induction (suffixes.py), in bounded memory whatever the shard's size. Neighbours with SPAN bytes in common repeat.
+Suffix arrays. What is left of a shard makes a text: bytes, and a symbol for each block that counts as the block's length.
+Its suffixes and common prefixes are sorted by external induction (suffixes.py), in bounded memory whatever the shard's
+size. Neighbours with SPAN bytes in common repeat.
 
-Steps end in tables in the shared folder. Texts are shuffled twice, to where their segments and then their spans are.
+Beside it, passages are counted that documents share: runs of bytes covered by anchors' GRAM bytes that other documents
+have as anchors too. Every WINDOW bytes that two documents share hold such an anchor, so no shared passage of that length
+is missed; a run may start and end up to WINDOW - GRAM bytes inside the passage. More than 50 words of prose are about 300
+bytes.
+
+Steps end in tables in the shared folder. Texts are shuffled twice, to where their parts and then their spans are.
 
 Defined cases: a null text is empty; what is shorter than SPAN bytes loses nothing, and what is shorter than WINDOW has no
-passages. Repeated rows are copies of a text like any other. Null ids are kept. Other columns are ignored. An empty table
-gives an empty result.
+passages. Repeated rows are copies of a text like any other, and are one passage as a whole. Null ids are kept. Other
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,11 +46,13 @@ from pyspark.sql import functions as F
 from . import suffixes
 from .common import Written, as_bytes, release
 
-SPAN, WINDOW, GRAM, WORDS = 400, 256, 128, 50
+SPAN, WINDOW, GRAM, STEP = 400, 256, 160, 32
 BLOCK = 1 << 20
-#: Bytes of segments from which a task starts a new shard, at the next hash.
-SHARD = 1 << 23
-#: Different segments from which a hash is parted.
+#: Symbols from which a task starts a new shard, at the next block.
+SHARD = 1 << 22
+#: Parts that a task sorts.
+TASK = 1 << 16
+#: Different parts of a block from which they are parted again.
 HOT = 256
 _R = 0x9E3779B97F4A7C15
 _R_INVERSE = pow(_R, -1, 1 << 64)
@@ -100,6 +104,17 @@ def segments(raw: bytes, window: int, gram: int) -> Iterator[tuple[np.ndarray, n
 
 # --- shards
 
+_RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+_SQL_RANGES = "array<struct<lo:long,hi:long>>"
+
+
+def _digest(*parts: bytes) -> bytes:
+    """128 bits of a row of byte strings."""
+    h = hashlib.blake2b(digest_size=16)
+    for x in parts:
+        h.update(len(x).to_bytes(8, "little") + x)
+    return h.digest()
+
 
 def _ranges(flags: np.ndarray) -> list[dict]:
     """The runs of true flags."""
@@ -108,141 +123,93 @@ def _ranges(flags: np.ndarray) -> list[dict]:
 
 
 class _Shard:
-    """Segments in a file, until they are sorted."""
-
-    def __init__(self, span: int, window: int):
-        self.span, self.window = span, window
-        self.file, self.size, self.keys, self.starts, self.windows, self.owners = tempfile.TemporaryFile(), 0, [], [], [], []
-
-    def add(self, segment: bytes, n: int, owner: int | None, key: tuple) -> None:
-        """n windows of a text; no owner: it stands in several."""
-        symbols = np.frombuffer(segment, np.uint8).astype(np.uint16) + 2
-        self.file.write(np.append(symbols, np.uint16(1)).tobytes())
-        self.keys.append(key)
-        self.starts.append(self.size)
-        # what starts nearer to the end than span bytes runs into the separator
-        self.windows.append((n, max(0, min(n, len(segment) - self.span + 1))))
-        self.owners.append(-len(self.keys) if owner is None else owner)
-        self.size += len(segment) + 1
-
-    def _passed(self, blocks: Iterator[np.ndarray], repeats: np.ndarray, shared: np.ndarray) -> None:
-        """Mark places that share SPAN bytes with the one taken before or after them, and WINDOW bytes with one of another
-        owner that was taken before them."""
-        starts, owners = np.array(self.starts), np.array(self.owners)
-        owner = last = -1
-        mixed = False
-        for _, at, lcp in blocks:
-            own = owners[np.searchsorted(starts, at, side="right") - 1]
-            same = lcp >= self.span
-            repeats[at[same]] = True
-            before = np.concatenate(([last], at[:-1]))
-            repeats[before[same]] = True
-            # groups of one window: the owner of the first, and whether there was another one since
-            new = np.flatnonzero(lcp < self.window)
-            of = np.searchsorted(new, np.arange(len(at)), side="right")
-            first = np.concatenate(([owner], own[new]))[of]
-            other = own != first
-            seen = np.cumsum(other)
-            base = np.concatenate(([0], seen[new] - other[new]))[of]
-            among = (seen - base > 0) | ((of == 0) & mixed)
-            shared[at[among]] = True
-            owner, last, mixed = int(first[-1]), int(at[-1]), bool(among[-1])
-
-    def marked(self) -> list[tuple[tuple, list[dict], list[dict]]]:
-        """The ranges of repeated windows, and of those shared with others, of each segment that has some."""
-        self.file.write(np.zeros(1, np.uint16).tobytes())
+    """The text of parts in a file, until it is sorted."""
+
+    def __init__(self, span: int):
+        self.span, self.file, self.size, self.blocks, self.parts = span, tempfile.TemporaryFile(), 0, [], []
+
+    def add(self, key: tuple, n: int, left: bytes, block: int, right: bytes, new: bool) -> None:
+        """A part of n strings, which start in `left` or at the block; new: no part of this block came before."""
+        if new:
+            self.blocks.append(block)
+        symbols = [np.frombuffer(left, np.uint8).astype(np.int32) + 2, [257 + len(self.blocks)], np.frombuffer(right, np.uint8).astype(np.int32) + 2, [1]]
+        symbols = np.concatenate(symbols).astype(np.int32)
+        self.file.write(symbols.tobytes())
+        self.parts.append((key, self.size, n))
+        self.size += len(symbols)
+
+    def repeats(self) -> list[tuple[tuple, list[dict]]]:
+        """The ranges of repeated strings of each part that has some."""
+        self.file.write(np.zeros(1, np.int32).tobytes())
         self.file.seek(0)
-        text = np.asarray(np.memmap(self.file, np.uint16, "r"))
-        repeats, shared, back = suffixes.mapped(len(text), "?"), suffixes.mapped(len(text), "?"), suffixes.Tape()
-
-        is_window = suffixes.mapped(len(text), "?")
-        for a, (n, _) in zip(self.starts, self.windows, strict=True):
-            is_window[a : a + n] = True
-
-        def kept() -> Iterator[np.ndarray]:
-            low = self.span
-            for rows in suffixes.suffixes(text, 258, self.span):
-                # only windows count: what follows them in a segment is in others too
-                at = np.flatnonzero(is_window[rows[suffixes.AT]])
-                lcp = rows[suffixes.LCP]
-                if not len(at):
-                    low = min(low, int(lcp.min()))
-                    continue
-                least = np.minimum.reduceat(lcp[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
-                least[0] = min(low, int(least[0]))
-                low = int(lcp[at[-1] + 1 :].min(initial=self.span))
-                rows = rows[:, at]
-                rows[suffixes.LCP] = least
-                # what shares no window with either neighbour says nothing
-                near = least >= self.window
-                near[:-1] |= near[1:]
-                near[-1] = True
-                back.put(rows[:, near])
-                yield rows[:, near]
-
-        def turned() -> Iterator[np.ndarray]:
-            while (rows := back.peek(suffixes.BLOCK)).shape[1]:
-                back.skip(rows.shape[1])
-                yield rows
-
-        self._passed(kept(), repeats, shared)
-        self._passed(turned(), repeats, shared)
+        text = np.asarray(np.memmap(self.file, np.int32, "r"))
+        starts, found = suffixes.mapped(len(text), "?"), suffixes.mapped(len(text), "?")
+        for _, a, n in self.parts:
+            starts[a : a + n] = True
+        weight = np.concatenate((np.ones(258, np.int32), np.array(self.blocks, np.int32)))
+        low, last = self.span, -1
+        for _, at, lcp in suffixes.suffixes(text, len(weight), self.span, weight):
+            # other suffixes lie in the parts of others too
+            k = np.flatnonzero(starts[at])
+            if not len(k):
+                low = min(low, int(lcp.min()))
+                continue
+            least = np.minimum.reduceat(lcp[: k[-1] + 1], np.concatenate(([0], k[:-1] + 1)))
+            least[0] = min(low, int(least[0]))
+            low = int(lcp[k[-1] + 1 :].min(initial=self.span))
+            same, own = least >= self.span, at[k]
+            found[own[same]] = True
+            found[np.concatenate(([last], own[:-1]))[same]] = True
+            last = int(own[-1])
         self.file.close()
-        found = ((key, _ranges(repeats[a : a + long]), _ranges(shared[a : a + n])) for key, a, (n, long) in zip(self.keys, self.starts, self.windows, strict=True))
-        return [x for x in found if x[1] or x[2]]
-
-
-_RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-_SQL_RANGES = "array<struct<lo:long,hi:long>>"
-
-
-def _digest(segment: bytes, n: int) -> bytes:
-    """Of a segment's bytes and its number of windows."""
-    return hashlib.sha256(b"%d " % n + segment).digest()
+        marked = ((key, _ranges(found[a : a + n])) for key, a, n in self.parts)
+        return [x for x in marked if x[1]]
 
 
-def _sorted_shards(rows: DataFrame, span: int, window: int) -> DataFrame:
-    """v, dig, ranges of windows that repeat and of those that other texts share, for rows (v, dig, n, owner, segment) that
-    lie by v."""
+def _sorted_shards(rows: DataFrame, span: int) -> DataFrame:
+    """v, dig, ranges of strings that repeat, for rows (v, dig, n, left, block, right) that lie by v."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("v", pa.int64()), ("dig", pa.binary()), ("ranges", _RANGES), ("shared", _RANGES)])
+        schema = pa.schema([("v", pa.binary()), ("dig", pa.binary()), ("ranges", _RANGES)])
 
         def done(shard: _Shard) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"v": v, "dig": d, "ranges": r, "shared": s} for (v, d), r, s in shard.marked()], schema)
+            return pa.RecordBatch.from_pylist([{"v": v, "dig": d, "ranges": r} for (v, d), r in shard.repeats()], schema)
 
-        shard, last = _Shard(span, window), None
+        shard, last = _Shard(span), None
         for b in batches:
-            for v, d, n, owner, s in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for v, d, n, left, block, right in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if v != last and shard.size > SHARD:
                     yield done(shard)
-                    shard = _Shard(span, window)
-                shard.add(s, n, owner, (v, d))
+                    shard = _Shard(span)
+                shard.add((v, d), n, left, block, right, v != last)
                 last = v
         if shard.size:
             yield done(shard)
 
-    return rows.mapInArrow(each, f"v long, dig binary, ranges {_SQL_RANGES}, shared {_SQL_RANGES}")
+    return rows.mapInArrow(each, f"v binary, dig binary, ranges {_SQL_RANGES}")
 
 
-def _halved(parts: DataFrame, span: int, window: int) -> DataFrame:
-    """Each part's windows in two: those that start far before the anchor and those that start near it. Parts are v, dig,
-    root_v, root_dig, shift (from the root's first window), n, long, anchor (from the part's), lo, hi (distances), owner and
-    segment; v of a half is a hash of what its windows have in common."""
+def _halved(parts: DataFrame) -> DataFrame:
+    """Parts (v, dig, root_v, root_dig, shift, n, lo, hi, left, block, right, places) in two: the strings that start far
+    before the anchor, and those that start near it. lo and hi are their distances, shift the strings before the part in
+    its root."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                half = (r["lo"] + r["hi"]) // 2
-                cut = min(max(r["anchor"] - half + 1, 0), r["n"])
-                for a, to, lo, hi in ((0, cut, half, r["hi"]), (cut, r["n"], r["lo"], half)):
+                # the block starts lo before the anchor; the first string starts len(left) before the block
+                lo, hi, left, right, n = r["lo"], r["hi"], r["left"], r["right"], r["n"]
+                half = (lo + hi) // 2
+                cut = min(max(len(left) + lo - half + 1, 0), n)
+                ends = hi - 1 - lo - len(left)  # bytes of right in the first string
+                for a, to, new_lo, new_hi in ((0, cut, half, hi), (cut, n, lo, half)):
                     if a < to:
-                        segment, anchor = r["segment"][a : to - 1 + span], r["anchor"] - a
-                        common = segment[anchor - lo : anchor - hi + 1 + window]
-                        v = xxhash.xxh64_intdigest(common, (r["root_v"] ^ lo << 16 ^ hi) & (1 << 64) - 1)
-                        new = {"v": v - (1 << 64 if v >> 63 else 0), "dig": _digest(segment, to - a), "shift": r["shift"] + a, "n": to - a, "long": max(0, min(to - a, r["long"] - a)), "anchor": anchor, "lo": lo, "hi": hi, "segment": segment}
-                        out.append(r | new)
+                        more_left, more_right = new_lo - lo, hi - new_hi
+                        new_left, new_right = left[a : len(left) - more_left], right[more_right : max(more_right, ends + to - 1)]
+                        common = left[len(left) - more_left :], right[:more_right]
+                        v = _digest(r["v"], b"%d %d" % (new_lo, new_hi), *common)
+                        out.append(r | {"v": v, "dig": _digest(b"%d" % (to - a), new_left, new_right), "shift": r["shift"] + a, "n": to - a, "lo": new_lo, "hi": new_hi, "left": new_left, "right": new_right, "block": r["block"] + more_left + more_right})
             yield pa.RecordBatch.from_pylist(out, b.schema)
 
     return parts.mapInArrow(each, parts.schema)
@@ -252,7 +219,7 @@ def _halved(parts: DataFrame, span: int, window: int) -> DataFrame:
 
 
 def _scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """row (a number of its own), doc_id, sha, n_bytes, and the hashes: once each, and those that stand twice."""
+    """row (a number of its own), doc_id, sha, n_bytes, and the hashes of anchors: once each, and those that stand twice."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,12 +243,26 @@ def _scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(each, f"row long, doc_id {kind}, sha binary, n_bytes long, hashes array<long>, twice array<long>")
 
 
-def _segments(placed: DataFrame, span: int, window: int, gram: int) -> DataFrame:
-    """row, v, dig, n, long (windows with span bytes), anchor (from the first window), starts, segment: the different segments
-    of texts (text, row, hashes) with one of the hashes, and where they start."""
+def _runs(text: bytes, anchors: np.ndarray, gram: int) -> list[int]:
+    """The whole words of each run of bytes that anchors cover."""
+    if not len(anchors):
+        return []
+    anchors = np.unique(anchors)
+    new = np.flatnonzero(np.diff(anchors, prepend=-gram - 1) > gram)
+    out = []
+    for lo, hi in zip(anchors[new].tolist(), (anchors[np.append(new[1:], len(anchors)) - 1] + gram).tolist(), strict=True):
+        torn = lo > 0 and text[lo - 1 : lo].strip() and text[lo : lo + 1].strip(), text[hi - 1 : hi].strip() and text[hi : hi + 1].strip()
+        out.append(max(0, len(text[lo:hi].split()) - bool(torn[0]) - bool(torn[1])))
+    return out
+
+
+def _parts(placed: DataFrame, span: int, window: int, gram: int, step: int) -> DataFrame:
+    """row, v, dig, n, lo, hi, left, block, right, starts: the different parts of texts (text, row, hashes, others) with one
+    of the hashes, and where they start. Where v is null, starts are the words of the runs that `others` have too."""
+    fields = [("row", pa.int64()), ("v", pa.binary()), ("dig", pa.binary()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("left", pa.binary()), ("block", pa.int64()), ("right", pa.binary()), ("starts", pa.list_(pa.int64()))]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.int64()), ("v", pa.int64()), ("dig", pa.binary()), ("n", pa.int64()), ("long", pa.int64()), ("anchor", pa.int64()), ("starts", pa.list_(pa.int64())), ("segment", pa.binary())])
+        schema = pa.schema(fields)
         out: list[tuple] = []
         size = 0
 
@@ -290,58 +271,60 @@ def _segments(placed: DataFrame, span: int, window: int, gram: int) -> DataFrame
 
         for b in batches:
             for i, t in enumerate(as_bytes(b, "text")):
-                row, wanted = b.column(1)[i].as_py(), np.array(b.column(2)[i].as_py(), np.int64)
+                row, wanted, others = b.column(1)[i].as_py(), *(np.array(b.column(c)[i].as_py() or [], np.int64) for c in (2, 3))
                 found: dict[tuple, list[int]] = {}
+                runs = []
                 for value, start, n, anchor in segments(t, window, gram):
+                    runs.append(anchor[np.isin(value, others)])
                     at = np.flatnonzero(np.isin(value, wanted))
-                    for v, s, k, a in zip(value[at].tolist(), start[at].tolist(), n[at].tolist(), anchor[at].tolist(), strict=True):
-                        segment = t[s : s + k - 1 + span]
-                        key = v, _digest(segment, k), k, max(0, min(k, len(segment) - span + 1)), a - s
-                        found.setdefault(key, []).append(s)
+                    for s, k, a in zip(start[at].tolist(), n[at].tolist(), anchor[at].tolist(), strict=True):
+                        end = min(s + k, len(t) - span + 1)
+                        while s < end:
+                            lo = (a - s) // step * step
+                            hi, to = lo + step, min(end, a - lo + 1)
+                            # what all strings have in common that start lo to hi - 1 before the anchor
+                            at_block, behind = a - lo, a - hi + 1 + span
+                            block, left, right = t[at_block:behind], t[s:at_block], t[behind : max(behind, to - 1 + span)]
+                            v = xxhash.xxh3_128_digest(block, lo)
+                            key = v, _digest(b"%d" % (to - s), left, right), to - s, lo, hi, left, len(block), right
+                            found.setdefault(key, []).append(s)
+                            s = to
+                if words := _runs(t, np.concatenate(runs) if runs else np.zeros(0, np.int64), gram):
+                    out.append((row, None, None, None, None, None, None, None, None, words))
                 for key, starts in found.items():
-                    segment = t[starts[0] : starts[0] + key[2] - 1 + span]
-                    out.append((row, *key, starts, segment))
-                    size += len(segment) + 8 * len(starts)
+                    out.append((row, *key, starts))
+                    size += 150 + 8 * len(starts)
                     if size > BLOCK:
                         yield batch()
                         out, size = [], 0
         if out:
             yield batch()
 
-    return placed.select("text", "row", "hashes").mapInArrow(each, "row long, v long, dig binary, n long, long long, anchor long, starts array<long>, segment binary")
-
-
-def _cut(found: DataFrame, span: int, window: int, words: int, kind: str) -> DataFrame:
-    """The result, from doc_id, text, whole (it has a copy), ranges of repeated and of shared windows."""
-
-    def joined(ranges: list[dict] | None, width: int) -> list[list[int]]:
-        spans: list[list[int]] = []
-        for lo, hi in sorted((r["lo"], r["hi"] + width - 1) for r in ranges or ()):
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], hi)
-            else:
-                spans.append([lo, hi])
-        return spans
-
-    def n_words(text: bytes, lo: int, hi: int) -> int:
-        """The whole words of a part."""
-        part = text[lo:hi]
-        torn = lo > 0 and not text[lo - 1 : lo + 1].isspace() and text[lo - 1 : lo].strip() and part[:1].strip()
-        torn_end = hi < len(text) and text[hi : hi + 1].strip() and part[-1:].strip()
-        return max(0, len(part.split()) - bool(torn) - bool(torn_end))
-
-    def one(text: bytes, whole: bool | None, ranges: list[dict] | None, shared: list[dict] | None) -> tuple:
-        everything = [[0, len(text)]]
-        spans = (everything if len(text) >= span else []) if whole else joined(ranges, span)
-        runs = (everything if len(text) >= window else []) if whole else joined(shared, window)
-        counts = [n for n in (n_words(text, lo, hi) for lo, hi in runs) if n > words]
+    kinds = {pa.int64(): "long", pa.binary(): "binary"}
+    return placed.select("text", "row", "hashes", "others").mapInArrow(each, ", ".join(f"{n} {kinds.get(t, 'array<long>')}" for n, t in fields))
+
+
+def _cut(found: DataFrame, span: int, window: int, kind: str) -> DataFrame:
+    """The result, from doc_id, text, whole (it has a copy), ranges of repeated strings and words of shared runs."""
+
+    def one(text: bytes, whole: bool | None, ranges: list[dict] | None, words: list[int] | None) -> tuple:
+        if whole:
+            spans = [[0, len(text)]] if len(text) >= span else []
+            words = [len(text.split())] if len(text) >= window else []
+        else:
+            spans = []
+            for lo, hi in sorted((r["lo"], r["hi"] + span - 1) for r in ranges or ()):
+                if spans and lo <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], hi)
+                else:
+                    spans.append([lo, hi])
         kept, at = hashlib.sha256(), 0
         for lo, hi in spans:
             kept.update(text[at:lo])
             at = hi
         kept.update(text[at:])
         removed = [{"lo": lo, "hi": hi} for lo, hi in spans]
-        return len(text), sum(hi - lo for lo, hi in spans), len(spans), kept.hexdigest(), len(counts), max(counts, default=0), removed
+        return len(text), sum(hi - lo for lo, hi in spans), len(spans), kept.hexdigest(), len(words or ()), max(words or (), default=0), removed
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), _RANGES]
@@ -351,47 +334,30 @@ def _cut(found: DataFrame, span: int, window: int, words: int, kind: str) -> Dat
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return found.select("doc_id", "text", "whole", "ranges", "shared").mapInArrow(each, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long, removed {_SQL_RANGES}")
+    return found.select("doc_id", "text", "whole", "ranges", "words").mapInArrow(each, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long, removed {_SQL_RANGES}")
 
 
-def _parted(parts: DataFrame, span: int, window: int, tables: list[Written]) -> tuple[DataFrame, DataFrame | None]:
-    """Parts of hashes that are not hot, and what comes of the others: they are halved until they are not, or are single
-    windows (`single`)."""
-    cold = halves = None
-    while True:
-        hot = Written(parts.groupBy("v").agg(F.count_distinct("dig").alias("k"), F.max(F.col("hi") - F.col("lo")).alias("far")).where(F.col("k") > HOT), "hot")
-        tables.append(hot)
-        settled = parts.join(hot.df, "v", "left_anti").withColumn("single", F.lit(False))
-        settled = settled.unionByName(parts.join(hot.df.where("far <= 1"), "v", "left_semi").withColumn("single", F.lit(True)))
-        if cold is None:
-            cold = settled
-        else:
-            halves = settled if halves is None else halves.unionByName(settled)
-        more = hot.df.where("far > 1")
-        if more.isEmpty():
-            return cold, halves
-        made = Written(_halved(parts.join(more, "v", "left_semi"), span, window), "halves")
-        tables.append(made)
-        # what stands alone does not repeat
-        met = made.df.groupBy("v").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("v")
-        parts = made.df.join(met, "v", "left_semi")
-
-
-def remove_repeats(docs: DataFrame, span: int = SPAN, window: int = WINDOW, gram: int = GRAM, words: int = WORDS) -> DataFrame:
+def _unsure(parts: DataFrame) -> DataFrame:
+    """v, k (different parts) and far of the blocks of which different parts came, not all of them twice."""
+    return parts.groupBy("v").agg(F.count(F.lit(1)).alias("k"), F.min("places").alias("least"), F.max(F.col("hi") - F.col("lo")).alias("far")).where("k > 1 AND least = 1").select("v", "k", "far")
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, window: int = WINDOW, gram: int = GRAM, step: int = STEP) -> DataFrame:
     """For every document doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ranges; and n_passages and
-    passage_words, the passages of over `words` words that other documents share and the words of the longest."""
-    if not gram <= window <= span:
-        raise ValueError("gram <= window <= span is needed")
+    passage_words, the runs that other documents share and the whole words of the longest."""
+    if not (gram <= window <= span and step < span):
+        raise ValueError("gram <= window <= span and step < span are needed")
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     scanned = Written(_scanned(docs, window, gram), "scanned")
     texts = Written(scanned.df.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "doc_id")).alias("first"), F.first("n_bytes").alias("n_bytes")).select("sha", "copies", "first.row", F.col("first.doc_id").alias("first_id"), "n_bytes"), "texts")
-    # hashes at two places at least: of different texts, or twice in one
+    # hashes at two anchors at least: of different texts (other), or twice in one
     places = scanned.df.select("row", F.substring("sha", 1, 8).alias("s"), F.explode("hashes").alias("v"))
     places = places.select("row", F.conv(F.hex("s"), 16, -10).cast("long").alias("s"), "v")
-    shared = places.groupBy("v").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a != b").select("v")
-    shared = Written(shared.unionByName(scanned.df.select(F.explode("twice").alias("v"))).distinct(), "shared")
-    by_row = places.select("row", "v").join(shared.df, "v", "left_semi").groupBy("row").agg(F.collect_list("v").alias("hashes"))
-    wanted = Written(by_row.join(texts.df, "row").select("sha", "row", "first_id", "hashes"), "wanted")
+    shared = places.groupBy("v").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a != b").select("v", F.lit(True).alias("other"))
+    twice = scanned.df.select(F.explode("twice").alias("v"), F.lit(False).alias("other"))
+    shared = Written(shared.unionByName(twice).groupBy("v").agg(F.max("other").alias("other")), "shared")
+    by_row = places.select("row", "v").join(shared.df, "v").groupBy("row").agg(F.collect_list("v").alias("hashes"), F.collect_list(F.when(F.col("other"), F.col("v"))).alias("others"))
+    wanted = Written(by_row.join(texts.df, "row").select("sha", "row", "first_id", "hashes", "others"), "wanted")
     scanned.drop()
     shared.drop()
     release(spark)
@@ -399,55 +365,60 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, window: int = WINDOW, gram
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("sha", F.unhex(F.sha2("text", 256)))
     placed = own.join(wanted.df, (own["sha"] == wanted.df["sha"]) & own["doc_id"].eqNullSafe(wanted.df["first_id"]))
-    pieces = Written(_segments(placed, span, window, gram), "segments")
+    pieces = Written(_parts(placed, span, window, gram, step), "pieces")
     wanted.drop()
     release(spark)
 
-    # equal segments count once; those at two places repeat as a whole
-    kinds = pieces.df.groupBy("v", "dig").agg(F.min("row").alias("row"), F.max("row").alias("last"), F.sum(F.size("starts")).alias("places"), F.first("n").alias("n"), F.first("long").alias("long"))
-    owner = F.when(F.col("row") == F.col("last"), F.col("row")).alias("owner")
-    kinds = Written(kinds.select("v", "dig", "row", "n", "long", owner, (F.col("places") > 1).alias("copied")), "kinds")
-    unsure = kinds.df.groupBy("v").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("owner").isNotNull()).alias("open")).where("k > 1 AND open").select("v")
-    chosen = kinds.df.join(unsure, "v", "left_semi").select("row", "v", "dig", "owner")
-    root = F.col("v").alias("root_v"), F.col("dig").alias("root_dig"), F.lit(0).cast("long").alias("shift")
-    far = F.lit(0).cast("long").alias("lo"), F.lit(window - gram + 1).cast("long").alias("hi")
-    parts = pieces.df.select("row", "v", "dig", "n", "long", "anchor", "segment").join(chosen, ["row", "v", "dig"]).select("v", "dig", *root, "n", "long", "anchor", *far, "owner", "segment")
-    tables: list[Written] = [Written(parts, "parts")]
-    cold, halves = _parted(tables[0].df, span, window, tables)
-    rows = cold.select("v", "dig", "n", "owner", "segment")
-    one = F.when((F.min("owner") == F.max("owner")) & (F.count("owner") == F.count(F.lit(1))), F.min("owner"))
-    if halves is not None:
-        rows = rows.unionByName(halves.where("NOT single").groupBy("v", "dig").agg(F.first("n").alias("n"), one.alias("owner"), F.first("segment").alias("segment")))
-    # sorting takes long for its bytes: a number that is given is not merged into fewer, larger tasks
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "v").sortWithinPartitions("v")
-    marked = Written(_sorted_shards(rows, span, window), "marked")
+    # equal parts count once; those at two places repeat
+    first = [F.first(c).alias(c) for c in ("n", "lo", "hi", "left", "block", "right")]
+    kinds = Written(pieces.df.where("v IS NOT NULL").groupBy("v", "dig").agg(*first, F.sum(F.size("starts")).alias("places")), "kinds")
+    parts = kinds.df.select("v", "dig", F.col("v").alias("root_v"), F.col("dig").alias("root_dig"), F.lit(0).cast("long").alias("shift"), "n", "lo", "hi", "left", "block", "right", "places")
+    unsure = Written(_unsure(parts), "unsure")
+    tables, known = [kinds, unsure], []
+    columns = ["root_v", "root_dig", "shift", "n"]
+    known.append(parts.where("places > 1").select(*columns))
+    halves = []
+    parts = parts.join(unsure.df, "v")
+    while True:
+        # as parts get smaller, those of a hot block turn out to be equal or alone
+        settled, hot = parts.where(f"k <= {HOT} OR far <= 1").drop("k", "far"), parts.where(f"k > {HOT} AND far > 1").drop("k", "far")
+        halves.append(settled)
+        if hot.isEmpty():
+            break
+        made = Written(_halved(hot), "halves")
+        sums = made.df.groupBy("v", "dig").agg(F.sum("places").alias("all"))
+        again = Written(made.df.join(sums, ["v", "dig"]).withColumn("places", F.col("all")).drop("all"), "again")
+        made.drop()
+        unsure = Written(_unsure(again.df.dropDuplicates(["v", "dig"])), "unsure")
+        tables += [again, unsure]
+        known.append(again.df.where("places > 1").select(*columns))
+        parts = again.df.join(unsure.df, "v")
+    open_ = halves[0]
+    for x in halves[1:]:
+        open_ = open_.unionByName(x)
+    rows = Written(open_.groupBy("v", "dig").agg(*(F.first(c).alias(c) for c in ("n", "left", "block", "right"))), "open")
+    tables.append(rows)
+    # sorting has a cost for each row of a queue that grows slower than the shard: tasks get as much as they bear
+    dealt = rows.df.repartition(max(1, -(-rows.df.count() // TASK)), "v").sortWithinPartitions("v")
+    marked = Written(_sorted_shards(dealt.select("v", "dig", "n", "left", "block", "right"), span), "marked")
     release(spark)
 
-    # what was found of parts goes to their roots
+    # what was found of parts goes to their roots, and from these to all their places
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
-    whole_long = F.when(F.col("long") > 0, F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("long").alias("hi"))))
-    found = kinds.df.where("copied").select("v", "dig", whole_long.alias("ranges"), F.when(F.col("owner").isNull(), whole).alias("shared"))
-    if halves is None:
-        found = found.unionByName(marked.df)
-    else:
-        found = found.unionByName(marked.df.join(cold.select("v", "dig"), ["v", "dig"], "left_semi"))
-        equal = halves.groupBy("v", "dig").agg(F.count(F.lit(1)).alias("k"), one.alias("owner"), F.first("n").alias("n"), F.first("long").alias("long")).where("k > 1")
-        equal = equal.select("v", "dig", whole_long.alias("ranges"), F.when(F.col("owner").isNull(), whole).alias("shared"))
-        # hot single windows: all parts of a hash are one window
-        window_of = halves.where("single").groupBy("v").agg(one.alias("owner")).where("owner IS NULL").select("v")
-        alike = halves.where("single").select("v", "dig", "n").distinct().join(window_of, "v").select("v", "dig", F.lit(None).cast(_SQL_RANGES).alias("ranges"), whole.alias("shared"))
-        moved = halves.select("v", "dig", "root_v", "root_dig", "shift").join(marked.df.unionByName(equal).unionByName(alike), ["v", "dig"])
-        shifted = [F.expr(f"transform({c}, r -> struct(r.lo + shift AS lo, r.hi + shift AS hi))").alias(c) for c in ("ranges", "shared")]
-        found = found.unionByName(moved.select(F.col("root_v").alias("v"), F.col("root_dig").alias("dig"), *shifted))
+    found = open_.select("v", "dig", *columns).join(marked.df, ["v", "dig"]).select(*columns, "ranges")
+    for x in known:
+        found = found.unionByName(x.withColumn("ranges", whole))
+    found = found.select(F.col("root_v").alias("v"), F.col("root_dig").alias("dig"), F.expr("transform(ranges, r -> struct(r.lo + shift AS lo, r.hi + shift AS hi))").alias("ranges"))
     windows = pieces.df.select("row", "starts", "v", "dig").join(found, ["v", "dig"])
-    placed_at = [F.expr(f"flatten(transform(starts, s -> transform({c}, r -> struct(r.lo + s AS lo, r.hi + s AS hi))))").alias(c) for c in ("ranges", "shared")]
-    by_row = windows.select("row", *placed_at).groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "shared")))
-    spans = texts.df.join(by_row, "row", "left").select("sha", (F.col("copies") > 1).alias("whole"), *(F.when(F.col("copies") == 1, F.col(c)).alias(c) for c in ("ranges", "shared")))
-    spans = Written(spans.where("whole OR ranges IS NOT NULL"), "spans")
-    for t in (pieces, kinds, texts, marked, *tables):
+    windows = windows.select("row", F.expr("flatten(transform(starts, s -> transform(ranges, r -> struct(r.lo + s AS lo, r.hi + s AS hi))))").alias("ranges"), F.lit(None).cast("array<long>").alias("words"))
+    windows = windows.unionByName(pieces.df.where("v IS NULL").select("row", F.lit(None).cast(_SQL_RANGES).alias("ranges"), F.col("starts").alias("words")))
+    by_row = windows.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("words")).alias("words"))
+    spans = texts.df.join(by_row, "row", "left").select("sha", (F.col("copies") > 1).alias("whole"), *(F.when(F.col("copies") == 1, F.col(c)).alias(c) for c in ("ranges", "words")))
+    spans = Written(spans.where("whole OR ranges IS NOT NULL OR words IS NOT NULL"), "spans")
+    for t in (pieces, texts, marked, *tables):
         t.drop()
     release(spark)
-    return _cut(own.join(spans.df, "sha", "left"), span, window, words, kind)
+    return _cut(own.join(spans.df, "sha", "left"), span, window, kind)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ level by the same code.
 
 Queues. Induction takes suffix tuples (symbol, place, common prefix with the tuple before it) from a priority queue in
 order and puts the suffix one place before each back in. Priorities are (symbol, arrival). A queue keeps MEMORY tuples;
-beyond them it writes sorted runs to disk, merges runs of like size and reads runs in blocks. Tuples are taken in the
-longest row of which no new tuple falls within, so that a row is worked on at once.
+beyond them it writes them to disk, in ranges of symbols, each of which is read back in its turn and sorted, or dealt again
+if it is too large. Tuples are taken in the longest row within which no new tuple falls, so that a row is worked on at once.
 
 Common prefixes. Of two neighbours c + x and c + y the common prefix is one c longer than that of x and y, which is the
 least among those of all tuples taken between x and y. Within a row that is a range minimum; across rows each symbol
@@ -214,11 +214,11 @@ class Tape:
 class _Level:
     """A text of symbols below n_symbols; its last symbol is 0 and stands nowhere else. weight: symbols of the first text
     that a symbol stands for; cross: the common prefix of a symbol's piece with that of the symbol below; origin: where
-    its places lie in the first text."""
+    its places lie in the first text, of which `before` counts what lies before each place."""
 
-    def __init__(self, text: np.ndarray, n_symbols: int, cap: int, weight=None, cross=None, origin=None, first=None):
+    def __init__(self, text: np.ndarray, n_symbols: int, cap: int, weight, before: np.ndarray, cross=None, origin=None, first=None):
         self.n_symbols, self.cap = n_symbols, cap
-        self.weight, self.cross, self.origin = weight, cross, origin
+        self.weight, self.before, self.cross, self.origin = weight, before, cross, origin
         self.first = text if first is None else first
         n = len(text)
         # twice the symbol, and 1 where the suffix is smaller than the one after it
@@ -240,9 +240,6 @@ class _Level:
             self.run[at:to] = np.minimum(np.where(open_, to - at - place + longer, end - place + 1), cap)
             after, longer = bool(rises[0]), int(self.run[at])
 
-    def weights(self, symbols: np.ndarray) -> np.ndarray | int:
-        return 1 if self.weight is None else self.weight[symbols].astype(np.int64)
-
     def across(self, symbols: np.ndarray) -> np.ndarray:
         """The common prefixes of neighbours in a row of symbols, each larger than the one before."""
         lo, hi = int(symbols[0]), int(symbols[-1])
@@ -261,7 +258,7 @@ class _Level:
             x, y = a[open_] + k, b[open_] + k
             # the last symbol stands at one place only, so that nothing is compared past it
             same = self.first[np.minimum(x, last)] == self.first[np.minimum(y, last)]
-            out[open_[~same]] = k
+            out[open_[~same]] = np.minimum(self.before[x[~same]] - self.before[a[open_[~same]]], self.cap)
             open_ = open_[same]
         return out
 
@@ -359,7 +356,7 @@ def _sweep(level: _Level, queue: Queue, source: Tape | Queue, up: bool) -> Itera
             least[new] = np.minimum(least[new], between)
             out = np.empty((3, len(i)), np.int64)
             out[SYMBOL], out[AT] = to, before[i]
-            out[LCP] = np.where(least >= EQUAL, EQUAL, np.minimum(least + level.weights(to if up else top - to), level.cap))
+            out[LCP] = np.where(least >= EQUAL, EQUAL, np.minimum(least + level.weight[to if up else top - to], level.cap))
             queue.put(out)
             ends = i[np.append(new[1:], True)]
             rest = np.append(np.minimum.accumulate(lcp[::-1])[::-1], EQUAL)
@@ -464,8 +461,8 @@ def _sorted(level: _Level) -> Iterator[np.ndarray]:
         np.add.at(count, names[a:b], 1)
         origin[a:b] = lms[a:b] if level.origin is None else level.origin[lms[a:b]]
     for a, b in _blocks(n_lms):
-        ahead = origin[a + 1 : b + 1]
-        weight[names[a : a + len(ahead)]] = np.minimum(ahead - origin[a : a + len(ahead)], level.cap)
+        ahead = level.before[origin[a + 1 : b + 1]]
+        weight[names[a : a + len(ahead)]] = np.minimum(ahead - level.before[origin[a : a + len(ahead)]], level.cap)
     weight[0] = 1
 
     # no comparison gets past a name that stands once, so that of several in a row only the first is needed
@@ -485,7 +482,7 @@ def _sorted(level: _Level) -> Iterator[np.ndarray]:
         text[a:b], place[a:b] = names[kept[a:b]], origin[kept[a:b]]
 
     seeds, above = Tape(), n_names
-    for rows in _sorted(_Level(text, n_names, level.cap, weight, below, place, level.first)):
+    for rows in _sorted(_Level(text, n_names, level.cap, weight, level.before, below, place, level.first)):
         at = kept[rows[AT]]
         name = names[at]
         low = int(name[-1])
@@ -507,8 +504,15 @@ def _sorted(level: _Level) -> Iterator[np.ndarray]:
     yield from _induced(level, seeds)
 
 
-def suffixes(text: np.ndarray, n_symbols: int, cap: int) -> Iterator[np.ndarray]:
-    """Blocks of rows symbol, at and lcp: the suffixes of a text of numbers below n_symbols from the greatest to the least, each
-    with the common prefix, up to cap, that it has with the one before. The text's last symbol must be 0 and stand nowhere
-    else."""
-    return _sorted(_Level(text, n_symbols, cap))
+def suffixes(text: np.ndarray, n_symbols: int, cap: int, weight: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Blocks of rows symbol, at and lcp: the suffixes of a text of numbers below n_symbols from the greatest to the least,
+    each with the common prefix, up to cap, that it has with the one before; a symbol counts as its weight, or 1. The
+    text's last symbol must be 0 and stand nowhere else."""
+    n, at = len(text), 0
+    own = np.ones(n_symbols, np.int32) if weight is None else weight
+    before = mapped(n, "<i8")
+    for a, b in _blocks(n):
+        ends = at + np.cumsum(own[text[a:b]], dtype=np.int64)
+        before[a:b] = ends - own[text[a:b]]
+        at = int(ends[-1])
+    return _sorted(_Level(text, n_symbols, cap, own, before))
