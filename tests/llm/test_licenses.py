@@ -19,7 +19,8 @@ def brute_labels(t, templates, containment):
             for label, texts in templates.items():
                 for x in texts:
                     s = set(words(x))
-                    if len(s & own) >= containment * len(s) - 1e-9:
+                    must = s if len(s) < L.SHORT else {w for w in s if w.encode() in L.NAMES or re.search("[0-9]", w)}
+                    if len(s & own) >= containment * len(s) - 1e-9 and must <= own:
                         found[label] = max(found.get(label, 0), len(s & own) / len(s))
     return found
 
@@ -53,13 +54,13 @@ def test_scan_against_all_pairs(spark):
 
 def test_any_containment():
     r = random.Random(1)
-    vocabulary = [f"w{i}".encode() for i in range(30)]
+    vocabulary = [(f"w{i}" if i % 7 == 0 else "w" + chr(97 + i)).encode() for i in range(40)]
     for _ in range(300):
-        sets = [(f"t{i}", frozenset(r.sample(vocabulary, r.randint(1, 12)))) for i in range(6)]
+        sets = [(f"t{i}", frozenset(r.sample(vocabulary, r.randint(1, 24)))) for i in range(6)]
         c = r.choice([0.3, 0.5, 0.8, 1.0])
         index = L.Index(sets, collections.Counter({w: r.randint(0, 9) for w in vocabulary}), c)
-        block = set(r.sample(vocabulary, r.randint(0, 20)))
-        want = {t: len(s & block) / len(s) for t, s in sets if len(s & block) >= c * len(s) - 1e-9}
+        block = set(r.sample(vocabulary, r.randint(0, 40)))
+        want = {t: len(s & block) / len(s) for t, s in sets if len(s & block) >= c * len(s) - 1e-9 and L.required(s) <= block}
         assert index.match(block) == want and (not want or index.may_match(block))
 
 
@@ -68,3 +69,12 @@ def test_cases(spark):
     got = L.scan(cases.documents(spark)).collect()
     assert sorted(((r.doc_id, r.n_words) for r in got), key=repr) == sorted(((r[0], len(words(r[1]))) for r in rows), key=repr)
     assert L.scan(cases.empty(spark)).count() == 0
+
+
+def test_other_versions_and_terms_get_no_label(spark):
+    gpl = L.TEMPLATES["gpl-3.0"][0]
+    texts = ["Licensed under CC BY 4.0.", "The notes fall under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 2.", "Licensed under the Apache License, Version 1.0.", "The record was released under the license of the city.", gpl.replace("version 3", "version 2"), L.TEMPLATES["apache-2.0"][0].replace("2.0", "1.1")]
+    right = ["Licensed under CC BY-NC 4.0.", gpl, gpl.replace("redistribute it", "share it"), "Released under the MIT License. Have fun.", L.TEMPLATES["apache-2.0"][0]]
+    df = spark.createDataFrame(list(enumerate(texts + right)), "doc_id long, text string")
+    got = [set(r.labels.split(",")) - {"", *L.PHRASES.values()} for r in sorted(L.scan(df).collect())]
+    assert got == [set()] * len(texts) + [{"cc-by-nc-4.0"}, {"gpl-3.0"}, {"gpl-3.0"}, {"mit-text"}, {"apache-2.0"}]

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tidemark.llm import media as M
 
 TEXT = "the quick onion reads a tale of brown rivers and distant cities while {} sailors paint the harbour walls at noon with salt and lime before a long winter comes to rest on the roofs again"
@@ -8,39 +9,62 @@ TEXT = "the quick onion reads a tale of brown rivers and distant cities while {}
 def html(i):
     r = np.random.RandomState(i)
     words = TEXT.split()
-    return f"<html><script>x</script><article><p>{' '.join(words[j] + chr(97 + r.randint(26)) for j in r.randint(0, len(words), 60))}</p></article></html>"
+    return f"<html><script>x</script><article><p>{' '.join(words[j] + chr(97 + r.randint(26)) for j in r.randint(0, len(words), 90 + i % 7 * 60))}</p></article></html>"
 
 
 @pytest.fixture(scope="module")
 def images():
-    return M.thumbnails([html(i).encode() for i in range(60)])
+    return M.pictures([html(i).encode() for i in range(60)])
 
 
-def test_thumbnails():
-    a, b, blank = M.thumbnails([html(1).encode(), html(1).replace("<p>", "<p class='x'>").encode(), b""])
-    assert a.shape == (M.SIDE, M.SIDE) and (a == b).all() and (blank == 235).all()
-    assert len(M.describe(blank[None])[0]) == 0
+def points(image, asked=False):
+    return M.describe(image[None], asked)[0]
+
+
+def test_pictures_show_whole_texts():
+    a, b, c, blank = M.pictures([html(1).encode(), html(1).replace("<p>", "<p class='x'>").encode(), html(1).replace("</p>", " end</p>").encode(), b""])
+    assert (a == b).all() and (a != c).any() and (blank == 235).all() and blank.shape == (M.LEAST_SIDE, M.LEAST_SIDE)
+    assert len(points(blank)) == 0
+    long = M.pictures([b"<article>" + b"ab cd " * 40_000])[0]
+    assert long.size >= 4 * 239_999
 
 
 def test_tests_turn_with_the_image(images):
     """A quarter turn moves the keypoints and leaves the descriptors."""
-    p, q = M.describe(images[:1])[0], M.describe(np.rot90(images[0])[None])[0]
+    p, q = points(images[0]), points(np.rot90(images[0]))
     n, factor, _ = M.consensus(q, p)
-    assert n >= 20 and abs(factor - 1j) < 0.05 or abs(factor + 1j) < 0.05
+    assert n >= 12 and (abs(factor - 1j) < 0.05 or abs(factor + 1j) < 0.05)
     d = np.bitwise_count(q["d"][:, None] ^ p["d"][None]).sum(2).min(1)
     assert np.median(d) <= 6
 
 
+def test_wide_images(images):
+    """Places beyond a byte, and more keypoints with more area."""
+    tiled = np.hstack([np.vstack([x[:48, :48] for x in images[i : i + 10]]) for i in range(0, 60, 10)])
+    p = points(tiled)
+    assert tiled.shape == (480, 288) and len(p) > 5 * len(points(images[0])) and p["y"].max() > 700
+    q = points(tiled[100:400, 40:])
+    n, factor, shift = M.consensus(q, p)
+    assert n > 40 and abs(factor - 1) < 0.02 and abs(shift - (40 + 100j)) < 2
+
+
 def test_edits_are_found_and_strangers_are_not(images):
-    points = M.describe(images)
-    asked = [M.describe(M.edited(x, i * 50)[None])[0] for i, x in enumerate(images)]
-    own = [M.consensus(q, p)[0] >= M.MIN_INLIERS for q, p in zip(asked, points)]
-    assert np.mean(own) >= 0.9
-    assert not any(M.consensus(asked[i], points[(i + k) % 60])[0] >= M.MIN_INLIERS for i in range(60) for k in (1, 7, 23))
+    """By kind of edit, with the keys that the join uses."""
+    base = [points(x) for x in images]
+    keys = [set(M.keys_of(p).ravel().tolist()) for p in base]
+    found = {k: [] for k in M.EDITS}
+    for i, x in enumerate(images):
+        for seed in range(i * 50, i * 50 + 8):
+            q = points(M.edited(x, seed), True)
+            shared = len(keys[i] & set(M.keys_of(q).ravel().tolist()))
+            found[M.kind_of(seed)].append(shared >= M.MIN_HITS and M.consensus(q, base[i])[0] >= M.MIN_INLIERS)
+        assert not any(M.consensus(q, base[(i + k) % 60])[0] >= M.MIN_INLIERS for k in (1, 7, 23))
+    recall = {k: np.mean(v) for k, v in found.items()}
+    assert all(len(v) > 50 for v in found.values()) and np.mean(sum(found.values(), [])) >= 0.9 and min(recall.values()) >= 0.8, recall
 
 
 def test_keys_agree_with_bits(images):
-    p = M.describe(images[:1])[0]
+    p = points(images[0])
     keys = M.keys_of(p)
     bits = np.unpackbits(p["d"].copy().view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
     for t in (0, M.TABLES - 1):
@@ -49,47 +73,58 @@ def test_keys_agree_with_bits(images):
     assert len({tuple(sorted(b)) for b in M._BITS.tolist()}) == M.TABLES
 
 
-def test_groups_against_all_pairs(spark):
-    """Components hold nothing that all pairs do not link, and put at least nine tenths of the edited copies with their page."""
-    rows = [(i, html(i), "clash") for i in range(0, 4000, 50)] + [(i, html(i), "clash") for i in range(1, 40)] + [(1001, html(0), "c"), (1061, html(50), "c"), (None, html(100), "c"), (None, None, None), (47, "", "c"), (50, html(50), "c")]
-    pages = spark.createDataFrame(rows, "page_id long, html string, sig string").repartition(3)
-    every, classes, links = M.find_copies(pages)
-    assert every.where("NOT edited").count() == len(rows)
-    own = {r.cid: (np.frombuffer(r.points, M._RECORD), r.component) for r in classes.collect()}
-    want = {(a, b) for a in own for b in own if a != b and M.consensus(own[a][0], own[b][0])[0] >= M.MIN_INLIERS}
-    assert {(r.u, r.v) for r in links.collect()} <= want | {(b, a) for a, b in want}
+def pages(spark):
+    rows = [(i, html(i), "clash") for i in range(0, 2000, 50)] + [(i, html(i), "clash") for i in range(1, 40)] + [(1001, html(0), "c"), (1061, html(50), "c"), (None, html(100), "c"), (None, None, None), (47, "", "c"), (50, html(50), "c"), (50, html(7), "c")]
+    return rows, spark.createDataFrame(rows, "page_id long, html string, query string")
+
+
+def test_links_against_all_pairs(spark):
+    """Links are those of all queries and images that share two keys, however the rows lie."""
+    rows, df = pages(spark)
+    seen = []
+    for n in (3, 11):
+        every, classes, links = M.find_copies(M.described(df.repartition(n), ["page_id", "html"], M.drawn_pages))
+        own = {(r.cid, r.query): np.frombuffer(r.points, M._RECORD) for r in classes.collect()}
+        assert every.where("NOT query").count() == len(rows) and every.where("query").count() == 42
+        want = set()
+        for (q, asked), x in own.items():
+            for (c, other), y in own.items():
+                if asked and not other and len(x) and len(y):
+                    shared = len(set(M.keys_of(x).ravel().tolist()) & set(M.keys_of(y).ravel().tolist()))
+                    if shared >= M.MIN_HITS and M.consensus(x, y)[0] >= M.MIN_INLIERS:
+                        want.add((q, c))
+        got = {(r.q, r.cid) for r in links.collect()}
+        assert got == want
+        seen.append(got)
+    assert seen[0] == seen[1]
+
+
+def test_query_over_cases(spark, tmp_path):
+    rows, df = pages(spark)
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = M.op2_media_copies(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
     of = {}
-    for r in every.collect():
-        of.setdefault((r.page_id, r.edited), r.cid)
-    assert of[0, False] == of[1001, False] and of[50, False] == of[1061, False] and of[47, False] != of[8, False]
-    found = [own[c][1] == own[of[i, False]][1] for (i, edited), c in of.items() if edited]
-    assert len(found) == 80 and np.mean(found) >= 0.9
-    strangers = [own[of[i, False]][1] for i in range(0, 4000, 50)]
-    assert len(set(strangers)) == 80
-
-
-def test_copies_behind_a_smaller_stranger(spark, images, monkeypatch):
-    """A picture and its copy meet even where unrelated pictures with the same patches have the smaller ids."""
-    page = M.describe(images[:1])[0]
-    copy = page.copy()
-    copy["x"] += 4
-    r = np.random.RandomState(5)
-    strangers = [np.roll(page, 2 * i)[:8].copy() for i in range(len(page) // 2)]
-    for p in strangers:
-        p["x"], p["y"] = r.randint(20, 170, len(p)), r.randint(20, 170, len(p))
-    rows = [(i, False, bytes([i] * 16), p.tobytes()) for i, p in enumerate([*strangers, page, copy])]
-    made = spark.createDataFrame([(i, e, bytearray(s), bytearray(p)) for i, e, s, p in rows], "page_id long, edited boolean, sig binary, points binary")
-    monkeypatch.setattr(M, "described", lambda pages: pages)
-    every, classes, _ = M.find_copies(made)
-    of, own = {x.page_id: x.cid for x in every.collect()}, {x.cid: x.component for x in classes.collect()}
-    assert min(of.values()) not in (of[len(strangers)], of[len(strangers) + 1])
-    assert own[of[len(strangers)]] == own[of[len(strangers) + 1]] and len(set(own.values())) == len(strangers) + 1
-
-
-def test_query(spark, data, tmp_path):
-    got = M.op2_media_copies(spark, data).collect()
-    assert len(got) == spark.read.parquet(f"{data}/pages.parquet").count()
-    asked = [r.found for r in got if r.found is not None]
-    assert len(asked) == 1
-    spark.read.parquet(f"{data}/pages.parquet").limit(0).write.parquet(str(tmp_path / "pages.parquet"))
-    assert M.op2_media_copies(spark, str(tmp_path)).count() == 0
+    for r in got:
+        of.setdefault(r.page_id, r)
+    assert of[1001].picture_id == 0 and of[1061].picture_id == 50 and of[47].n_keypoints == 0
+    asked = [r for r in got if r.page_id is not None and r.page_id % 50 == 0]
+    assert len(asked) == 42 and np.mean([r.found for r in asked]) >= 0.9 and of[1001].found is None
+    assert all(r.n_links <= 3 for r in got) and sum(r.best_id == r.picture_id for r in asked) >= 36
+    df.limit(0).write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    assert M.op2_media_copies(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_images_of_a_column(spark, images):
+    """Grey images as bytes; a null image links to nothing."""
+    made = [(1, False, images[0]), (2, False, images[1]), (3, True, M.edited(images[0], 0)), (3, True, M.edited(images[1], 50))]
+    rows = [(i, q, x.shape[0], x.shape[1], bytearray(x.astype(np.uint8).tobytes())) for i, q, x in made] + [(4, False, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, query boolean, height int, width int, pixels binary")
+    every, _, links = M.find_copies(M.described(df, df.columns, M.grey_images))
+    of = {(r.id, r.cid) for r in every.where("NOT query").collect()}
+    assert {i for r in links.collect() for i, c in of if c == r.cid} == {1, 2}
+
+
+def test_query_on_tables(spark, data):
+    got = M.op2_media_copies(spark, data)
+    assert got.count() == spark.read.parquet(f"{data}/pages.parquet").count() and got.where(F.col("found").isNotNull()).count() == 1

@@ -85,3 +85,18 @@ def test_empty_and_native(spark):
     assert found.count() == 0
     plan = pii.find_pii(cases.documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows with the text, not with the square of its matches."""
+    import time
+
+    text = " ".join(f"{i % 9000 + 1000}x" for i in range(170_000)) + " a@b.cd" * 2_000
+    assert len(text) > 1_000_000
+    took = []
+    for t in (text[-40_000:], text):
+        started = time.perf_counter()
+        got = pii.find_pii(frame(spark, [t])).collect()[0].spans
+        took.append(time.perf_counter() - started)
+    assert [(s.start, s.end) for s in got] == [m.span() for m in re.finditer("a@b.cd", text)]
+    assert took[1] < 30

@@ -1,12 +1,15 @@
 """License scans (operator 4): an exact set-similarity join of text blocks with license templates.
 
 A block is a line, or a paragraph (lines up to the next blank one). Words are lower-cased runs of letters, digits and
-non-ASCII characters. A template is found in a block that has at least CONTAINMENT of the template's distinct words.
+non-ASCII characters. A template is found in a block that has at least CONTAINMENT of the template's distinct words, and
+among them all its NAMES and numbers, which tell licenses and their versions apart; of a template below SHORT words the
+block has every word.
 
 The join is exact. The words of all templates are put in order of the number of documents that have them, counted over
 the whole corpus, rarest first. A block that reaches the threshold has one of the first |T| - ceil(c|T|) + 1 words of the
 template (prefix filter), at least ceil(c|T|) template words at all (length filter), and enough of them left from the
-first prefix word on (positional filter); what passes is verified. The templates are a parameter of bounded size and go to
+first prefix word on (positional filter); what passes is verified. A template that is demanded whole has a prefix of one
+word. The templates are a parameter of bounded size and go to
 every task; documents are scanned twice and never shuffled. Before the blocks of a document are looked at, its whole
 word set must meet some prefix, which few do.
 
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import as_bytes
 
-CONTAINMENT = 0.8
+CONTAINMENT, SHORT = 0.8, 16
 # fixed values: phrases and labels of the base rules
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # fixed values: notices as their licenses word them
@@ -52,6 +55,8 @@ TEMPLATES = {
     "cc-by-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+# fixed values: words that name a license or its terms
+NAMES = frozenset(b"mit apache gnu mozilla creative commons cc by nc sa nd bsd unencumbered".split())
 _KEEP = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 _TABLE = bytes(c if _KEEP.match(bytes([c])) else 32 for c in range(256)).lower()
 _BLANK = re.compile(rb"\n[\x20\x09-\x0D]*\n")
@@ -74,6 +79,11 @@ def blocks(raw: bytes) -> Iterator[bytes]:
             yield paragraph
 
 
+def required(template: frozenset[bytes]) -> frozenset[bytes]:
+    """The words of a template that a block must have."""
+    return template if len(template) < SHORT else frozenset(w for w in template if w in NAMES or any(48 <= c < 58 for c in w))
+
+
 class Index:
     """Templates by the rare words that a block must share with them."""
 
@@ -81,7 +91,8 @@ class Index:
         vocabulary = sorted(frozenset().union(*(s for _, s in sets)), key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(vocabulary)}
         self.sets, self.prefixes = sets, {}
-        self.least = [math.ceil(containment * len(s) - 1e-9) for _, s in sets]
+        self.needed = [required(s) for _, s in sets]
+        self.least = [max(math.ceil(containment * len(s) - 1e-9), len(s) if r == s else 0) for (_, s), r in zip(sets, self.needed, strict=True)]
         for t, (_, s) in enumerate(sets):
             for place, w in enumerate(sorted(s, key=self.rank.__getitem__)[: len(s) - self.least[t] + 1]):
                 self.prefixes.setdefault(w, []).append((t, place))
@@ -101,7 +112,7 @@ class Index:
                 if t in tried or len(known) < self.least[t] or min(len(s) - place, len(known) - i) < self.least[t]:
                     continue
                 tried.add(t)
-                if (n := len(s & block)) >= self.least[t]:
+                if self.needed[t] <= block and (n := len(s & block)) >= self.least[t]:
                     found[label] = max(found.get(label, 0), n / len(s))
         return found
 
@@ -134,7 +145,8 @@ def phrase_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document. Other columns are
+    ignored; null texts are empty."""
     sets = template_sets(templates)
     frequency = word_frequency(docs, frozenset().union(*(s for _, s in sets)))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -162,4 +174,5 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containme
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan over all documents."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,58 +1,63 @@
 """Copies of images by local descriptors (operator 2): cropped, scaled, turned and re-toned ones are found.
 
-Describing. Corners (the smaller eigenvalue of the structure tensor) are taken on a pyramid of SCALES, the strongest
-KEYPOINTS of an image. Each gets the direction of its patch's intensity centroid, and 128 tests of which of two places is
-brighter, on a pattern turned by that direction. The smoothed image is read; a change of tone leaves the tests as they are.
+Describing. Corners (the smaller eigenvalue of the structure tensor) are taken on a pyramid of SCALES, the strongest of an
+image, one for PER_KEYPOINT pixels; of queries, which are few, more on a finer pyramid. Each gets the direction of its patch's intensity centroid, and 128 tests of which of
+two places is brighter, on a pattern turned by that direction. The smoothed image is read; a change of tone leaves the
+tests as they are.
 
-Joining. TABLES keys of KEY_BITS of the 128 bits each: images with descriptors that agree on some key meet, and MIN_HITS
-buckets must name a pair. At first each is paired with the smallest of a bucket only, which makes one component of a group
-without its square of pairs. Then every two that still lie in different components are paired, so that in the end any two
-that meet are in one component or were compared: components are those of all pairs. A patch that many unrelated images
-have costs the square of their number.
+Joining. TABLES keys of KEY_BITS of the 128 bits each: every image that a query shares MIN_HITS buckets with is its
+candidate. The query set is stated (a fiftieth of all rows), so the keys of queries, which are few, are joined with those
+of all images; no bucket is cut, and no image stands for others. A patch that many images have costs the number of queries
+that have it times theirs.
 
-Deciding. For each pair all descriptors within MAX_DISTANCE bits are matched, and every two matches propose a turn, scale
-and shift; MIN_INLIERS matches, SPOT pixels apart, within TOLERANCE pixels of one proposal make a link. Components of links
-are the groups of copies.
+Deciding. For each candidate all descriptors within MAX_DISTANCE bits are matched, and pairs of matches propose a turn,
+scale and shift; MIN_INLIERS matches, SPOT pixels apart, within TOLERANCE pixels of one proposal make a link. All pairs of
+up to PARTNERS matches propose, of more each with the PARTNERS after it.
 
-Identical images form a class, described and joined once, however many rows it has; links are between classes. The rows of
-one bucket are sorted by one task, with spilling.
+Identical images form a class, described and joined once, however many rows it has; links are between queries and classes.
+Ids of classes come from the pixels' digest, so that they are the same in every run.
 
-The tables hold no images: op2 draws each page's thumbnail from its text (`thumbnails`), and adds an edited copy (`edited`)
-of every page whose id is divisible by 50.
+The tables hold no images: op2 draws each page's whole text (`pictures`), and asks for an edited copy (`edited`) of every
+page whose id is divisible by 50. `described` takes any images.
 
 Defined cases: a null html is empty, and an image without corners links to nothing. Repeated rows are one class. A null id
-has no edited copy. Other columns are ignored. An empty table gives an empty result.
+is no query; equal ids with different html are queries each. Other columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, as_bytes, release, written
-from .simhash import connected_components
+from .common import Written, as_bytes, release
 
-SIDE = 96
-SCALES = (1.0, 0.75)
-KEYPOINTS = (22, 20)
+LEAST_SIDE = 48
+SCALES, PER_KEYPOINT = (1.0, 0.75), 240
+#: Queries are few, and are described more closely.
+ASKED_SCALES, ASKED_PER_KEYPOINT = (4 / 3, 1.0, 0.75), 100
+LEAST_KEYPOINTS = 16
 RADIUS, MARGIN, ANGLES = 8, 9, 32
 TABLES, KEY_BITS = 4, 32
 MAX_DISTANCE = 28
 MIN_HITS = 2
 MIN_INLIERS, TOLERANCE, SPOT = 5, 3.0, 10.0
+PARTNERS = 48
 EVERY = 50
+#: Pixels that are described at once.
+STACK = 1 << 20
 #: A keypoint: its place in half pixels, and the results of its tests.
-_RECORD = np.dtype([("x", "u1"), ("y", "u1"), ("d", "<u8", 2)])
+_RECORD = np.dtype([("x", "<u4"), ("y", "<u4"), ("d", "<u8", 2)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (np.atleast_1d(x).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (np.atleast_1d(np.asarray(x) if not isinstance(x, int) else np.uint64(x % (1 << 64))).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
@@ -72,21 +77,23 @@ _BITS = np.argsort(_mix(np.arange(TABLES * 128).reshape(TABLES, 128)), axis=1)[:
 # --- pictures
 
 
-def thumbnails(pages: list[bytes]) -> np.ndarray:
-    """A picture of the text of each page: cells of 6 by 8 pixels, each of a pattern of its own; white at the end."""
-    columns, rows = SIDE // 6, SIDE // 8
-    cells = np.full((len(pages), rows * columns), 32, np.uint64)
-    for i, html in enumerate(pages):
+def pictures(pages: list[bytes]) -> list[np.ndarray]:
+    """A square picture of the whole text of each page: a cell of 2 by 2 pixels for each character, in a grey that it and
+    those around it give; white at the end."""
+    out = []
+    for html in pages:
         body = html[html.find(b"<article") :] if b"<article" in html else html
         text = re.sub(r"\s+", " ", re.sub(r"<(script|style).*?</\1>|<[^>]*>", " ", body.decode("utf-8", "replace"), flags=re.S)).strip()
-        line = np.frombuffer(text[: rows * columns].encode("utf-32-le"), "<u4")
-        cells[i, : len(line)] = np.where(line == 32, 95, line)
-    # a cell shows its letter and those before, after and above it
-    near = np.pad(cells, ((0, 0), (columns, 1)), constant_values=32)
-    h = _mix(_mix(_mix(_mix(near[:, columns - 1 : -2]) ^ cells) ^ near[:, columns + 1 :]) ^ near[:, : -columns - 1])
-    dots = _mix(h[..., None] + np.arange(12, dtype=np.uint64)) >> np.uint64(56)
-    grey = np.where((cells == 32)[..., None], 235, 20 + dots % np.uint64(200)).astype(np.float32).reshape(len(pages), rows, columns, 4, 3)
-    return grey.swapaxes(2, 3).reshape(len(pages), SIDE // 2, SIDE // 2).repeat(2, 1).repeat(2, 2)
+        line = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        # sides in steps, so that pictures of one size are many
+        side = max(LEAST_SIDE // 2, -(-int(np.ceil(np.sqrt(len(line)))) // 4) * 4)
+        cells = np.zeros(side * side, np.uint64)
+        cells[: len(line)] = line
+        near = np.pad(cells, (0, 1))
+        grey = (20 + (_mix(_mix(near[:-1]) ^ near[1:]) >> np.uint64(56)) % np.uint64(200)).astype(np.float32)
+        grey[len(line) :] = 235
+        out.append(grey.reshape(side, side).repeat(2, 0).repeat(2, 1))
+    return out
 
 
 def resized(images: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -103,20 +110,29 @@ def resized(images: np.ndarray, h: int, w: int) -> np.ndarray:
     return rows[..., a] * (1 - f) + rows[..., b] * f
 
 
+EDITS = ("cut", "enlarged", "turned", "shrunk")
+
+
 def edited(image: np.ndarray, seed: int) -> np.ndarray:
-    """A part of the image, in another tone and grain, for some seeds larger or turned."""
-    kind = int(_mix(seed)[0]) >> 3
-    h, w = 76 + kind % 8, 76 + kind // 8 % 8
-    y, x = kind // 64 % (SIDE - h), kind // 1024 % (SIDE - w)
-    part = image[y : y + h, x : x + w]
-    if kind // 65536 % 3 == 1:
-        part = resized(part, round(4 / 3 * h), round(4 / 3 * w))
-    if kind // 65536 % 3 == 2:
+    """A part of the image (at least four fifths of either side), in another tone and grain, and by the seed also larger,
+    turned or smaller."""
+    r = _mix(np.arange(6, dtype=np.uint64) + _mix(seed)) >> np.uint64(8)
+    h, w = (int(n) - int(r[i]) % (int(n) // 5 + 1) for i, n in enumerate(image.shape))
+    y, x = int(r[2]) % (image.shape[0] - h + 1), int(r[3]) % (image.shape[1] - w + 1)
+    part, kind = image[y : y + h, x : x + w], kind_of(seed)
+    if kind in ("enlarged", "shrunk"):
+        factor = 4 / 3 if kind == "enlarged" else 3 / 4
+        part = resized(part, round(factor * h), round(factor * w))
+    if kind == "turned":
         part = np.rot90(part)
-    grain = _mix(np.arange(part.size, dtype=np.uint64) + np.uint64(seed)).reshape(part.shape) >> np.uint64(61)
+    grain = _mix(np.arange(part.size, dtype=np.uint64) + np.uint64(seed % (1 << 63))).reshape(part.shape) >> np.uint64(61)
     return np.clip(part * 0.8 + 25 + grain, 0, 255).astype(np.float32)
 
 
+def kind_of(seed: int) -> str:
+    return EDITS[int(_mix(_mix(seed))[0] >> np.uint64(60)) % len(EDITS)]
+
+
 # --- descriptors
 
 
@@ -134,18 +150,19 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
     return out
 
 
-def describe(images: np.ndarray) -> list[np.ndarray]:
-    """The keypoints of each of a stack of images of one size: x, y and descriptor."""
+def describe(images: np.ndarray, asked: bool = False) -> list[np.ndarray]:
+    """The keypoints of each of a stack of images of one size, of queries or not: x, y and descriptor."""
     found: list[list[np.ndarray]] = [[] for _ in images]
     height, width = images.shape[1:]
     yy, xx = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
     disc = np.stack([yy, xx])[:, yy**2 + xx**2 <= RADIUS**2]
-    for scale, count in zip(SCALES, KEYPOINTS, strict=True):
+    per_keypoint = ASKED_PER_KEYPOINT if asked else PER_KEYPOINT
+    for scale in ASKED_SCALES if asked else SCALES:
         h, w = round(height * scale), round(width * scale)
-        if min(h, w) <= 2 * MARGIN:
+        if min(h, w) <= 2 * MARGIN + 1:
             continue
         level = images if scale == 1 else resized(images, h, w)
-        smooth = _box(np.ascontiguousarray(level, np.float32), 1) / np.float32(9)
+        smooth = _box(_box(np.ascontiguousarray(level, np.float32), 2), 1) / np.float32(225)
         gy, gx = np.zeros_like(smooth), np.zeros_like(smooth)
         gy[:, 1:-1] = smooth[:, 2:] - smooth[:, :-2]
         gx[:, :, 1:-1] = smooth[:, :, 2:] - smooth[:, :, :-2]
@@ -159,7 +176,7 @@ def describe(images: np.ndarray) -> list[np.ndarray]:
                     around = corner[:, MARGIN + dy : h - MARGIN + dy, MARGIN + dx : w - MARGIN + dx]
                     peak &= inner > around if (dy, dx) > (0, 0) else inner >= around
         flat = np.where(peak, inner, 0).reshape(len(images), -1)
-        k = min(count, flat.shape[1])
+        k = min(max(LEAST_KEYPOINTS, h * w // per_keypoint), flat.shape[1])
         best = np.argpartition(-flat, k - 1, axis=1)[:, :k]
         strong = np.take_along_axis(flat, best, 1) > 0
         of = np.nonzero(strong)[0]
@@ -197,134 +214,157 @@ def consensus(query: np.ndarray, other: np.ndarray) -> tuple[int, complex, compl
         return 0, 0j, 0j
     q = query["x"][which] / 2 + 1j * query["y"][which] / 2
     c = other["x"][best[which]] / 2 + 1j * other["y"][best[which]] / 2
-    i, j = np.triu_indices(len(q), 1)
+    at = np.arange(len(q))
+    ahead = np.arange(1, min(len(q), PARTNERS + 1))
+    i, j = np.repeat(at, len(ahead)), (at[:, None] + ahead).ravel()
+    # of a few matches each pair once, of many each with those after it, in a ring
+    i, j = (i[j < len(q)], j[j < len(q)]) if len(q) <= PARTNERS else (i, j % len(q))
     far = np.abs(q[i] - q[j]) > 4 * TOLERANCE
     i, j = i[far], j[far]
     if not len(i):
         return 0, 0j, 0j
     factor = (c[j] - c[i]) / (q[j] - q[i])
     shift = c[i] - factor * q[i]
-    near = np.abs(factor[:, None] * q + shift[:, None] - c) <= TOLERANCE
-    near &= (np.abs(factor) > 0.4)[:, None] & (np.abs(factor) < 2.5)[:, None]
+    fair = (np.abs(factor) > 0.4) & (np.abs(factor) < 2.5)
+    most, top, near = 0, 0, np.zeros(len(q), np.bool_)
+    for a in range(0, len(i), 1024):
+        close = np.abs(factor[a : a + 1024, None] * q + shift[a : a + 1024, None] - c) <= TOLERANCE
+        n = close.sum(1) * fair[a : a + 1024]
+        if n.max() > most:
+            most, top = int(n.max()), a + int(n.argmax())
+            near = close[n.argmax()]
     # matches in one spot, such as a word that two pages share, count once
-    top = int(near.sum(1).argmax())
-    inliers = len(np.unique(np.round(c[near[top]] / SPOT)))
+    inliers = len(np.unique(np.round(c[near] / SPOT)))
     return inliers, complex(factor[top]), complex(shift[top])
 
 
 # --- on tables
 
 
-def described(pages: DataFrame, page_id: str = "page_id", html: str = "html", block: int = 16) -> DataFrame:
-    """page_id, edited, sig (of the picture) and points; for every EVERY-th id also a row for an edited copy."""
+def _digest(image: np.ndarray) -> int:
+    """A class's id: of the pixels and the shape."""
+    return int.from_bytes(hashlib.blake2b(repr(image.shape).encode() + image.astype(np.uint8).tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _rows(ids: list, images: list[np.ndarray], asked: list[bool]) -> pa.RecordBatch:
+    """id, query, cid and points; images of one size are described together."""
+    points: list[bytes] = [b""] * len(images)
+    by_size: dict[tuple, list[int]] = {}
+    for i, x in enumerate(images):
+        by_size.setdefault((*x.shape, asked[i]), []).append(i)
+    for (h, w, closely), some in by_size.items():
+        step = max(1, STACK // (h * w))
+        for a in range(0, len(some), step):
+            for i, p in zip(some[a : a + step], describe(np.stack([images[i] for i in some[a : a + step]]), closely), strict=True):
+                points[i] = p.tobytes()
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(asked, pa.bool_()), pa.array([_digest(x) for x in images], pa.int64()), pa.array(points, pa.binary())], ["id", "query", "cid", "points"])
+
+
+def described(rows: DataFrame, columns: list[str], draw: Callable[[dict], tuple[list, list[np.ndarray], list[bool]]], block: int = 512) -> DataFrame:
+    """id, query, cid (of the picture) and points of the images that draw makes of rows' columns, as ids, grey images
+    (height, width) of values up to 255, and which of them are asked for. With `grey_images` the columns hold images."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), as_bytes(b, "html")
-            for at in range(0, len(ids), block):
-                some = ids[at : at + block]
-                images = thumbnails([t or b"" for t in texts[at : at + block]])
-                rows = [(i, False, x, p) for i, x, p in zip(some, images, describe(images), strict=True)]
-                rows += [(i, True, y, describe(y[None])[0]) for i, x in zip(some, images, strict=True) if i is not None and i % EVERY == 0 for y in [edited(x, i)]]
-                sigs = [hashlib.sha256(repr(x.shape).encode() + x.astype(np.uint8).tobytes()).digest()[:16] for _, _, x, _ in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(sigs, pa.binary()), pa.array([r[3].tobytes() for r in rows], pa.binary())], ["page_id", "edited", "sig", "points"])
+            for a in range(0, b.num_rows, block):
+                part = b.slice(a, block)
+                yield _rows(*draw({c: as_bytes(part, c) if pa.types.is_string(part.schema.field(c).type) else part.column(c).to_pylist() for c in columns}))
 
-    own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html"))
-    return own.mapInArrow(each, "page_id long, edited boolean, sig binary, points binary")
+    return rows.select(*columns).mapInArrow(each, "id long, query boolean, cid long, points binary")
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
-    """cid, comp and key, for the keys of classes (cid, comp, points)."""
+def grey_images(part: dict) -> tuple[list, list[np.ndarray], list[bool]]:
+    """Images of a media column: id, query, height, width and pixels (a byte each, by rows). A null image has no corners."""
+    shapes = [(h or 1, w or 1) if p is not None else (1, 1) for h, w, p in zip(part["height"], part["width"], part["pixels"], strict=True)]
+    return part["id"], [np.frombuffer(p or b"\0", np.uint8).astype(np.float32).reshape(s) for p, s in zip(part["pixels"], shapes, strict=True)], [bool(q) for q in part["query"]]
+
+
+def drawn_pages(part: dict) -> tuple[list, list[np.ndarray], list[bool]]:
+    """The picture of each page, and an edited copy as a query of each whose id is divisible by EVERY."""
+    ids, images = part["page_id"], pictures([t or b"" for t in part["html"]])
+    asked = [i for i, p in enumerate(ids) if p is not None and p % EVERY == 0]
+    return ids + [ids[i] for i in asked], images + [edited(images[i], ids[i]) for i in asked], [False] * len(ids) + [True] * len(asked)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """cid and key, for the keys of rows (cid, points); each key once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cids, comps, blobs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
+            cids, blobs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for at in range(0, len(cids), 256):
                 parts = [np.frombuffer(x, _RECORD) for x in blobs[at : at + 256]]
-                key = keys_of(np.concatenate(parts))
-                of = np.repeat(np.arange(at, at + len(parts)), [len(p) * TABLES for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(cids[of]), pa.array(comps[of]), pa.array(key.ravel())], ["cid", "comp", "key"])
+                keys = [np.unique(keys_of(p)) if len(p) else np.zeros(0, np.int64) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cids[at : at + 256], [len(k) for k in keys])), pa.array(np.concatenate(keys))], ["cid", "key"])
 
-    return classes.select("cid", "comp", "points").mapInArrow(each, "cid long, comp long, key long").where("key IS NOT NULL")
+    return rows.select("cid", "points").mapInArrow(each, "cid long, key long")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(u, v): classes (cid, points) that share keys, each with the smallest of a bucket, where MIN_HITS buckets say so."""
-    met = _keyed(classes.withColumn("comp", F.col("cid"))).withColumn("hub", F.min("cid").over(Window.partitionBy("key"))).where("cid != hub")
-    return met.groupBy(F.col("hub").alias("u"), F.col("cid").alias("v")).count().where(F.col("count") >= MIN_HITS).select("u", "v")
+def candidates(queries: DataFrame, classes: DataFrame) -> DataFrame:
+    """(q, cid): queries and classes (cid, points) that share MIN_HITS keys. The side of the queries is hashed, so that the
+    keys of all classes are shuffled once and not sorted."""
+    asked = _keyed(queries).withColumnRenamed("cid", "q").hint("shuffle_hash")
+    met = _keyed(classes).join(asked, "key").groupBy("q", "cid").count()
+    return met.where(F.col("count") >= MIN_HITS).select("q", "cid")
 
 
-def remaining(classes: DataFrame, tried: DataFrame) -> DataFrame:
-    """(u, v), u < v: all classes (cid, comp, points) of different comp that share MIN_HITS keys, without those tried."""
-    at_key = Window.partitionBy("key")
-    # ids in blocks of 4096 at most: a group is one row of a bucket, or a few
-    members = _keyed(classes).groupBy("key", "comp", F.expr("shiftright(cid, 12)").alias("block")).agg(F.collect_set("cid").alias("cids"))
-    mixed = members.withColumns({"lo": F.min("comp").over(at_key), "hi": F.max("comp").over(at_key)}).where("lo != hi")
-    mixed = Written(mixed.select("key", "comp", "cids"), "mixed")
-    a, b = (mixed.df.select("key", F.col("comp").alias(f"{c}_comp"), F.col("cids").alias(f"{c}_cids")) for c in "ab")
-    met = a.join(b, "key").where("a_comp < b_comp").select(F.explode("a_cids").alias("a"), "b_cids").select("a", F.explode("b_cids").alias("b"))
-    met = met.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).count().where(F.col("count") >= MIN_HITS)
-    return met.select("u", "v").join(tried, ["u", "v"], "left_anti")
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """u, v, inliers, scale, turn (degrees), dx, dy of the pairs that geometric consensus confirms."""
+def confirmed(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
+    """q, cid, inliers, scale, turn (degrees), dx, dy of the pairs that geometric consensus confirms."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of, rows = [], []
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 x, y = np.frombuffer(x, _RECORD), np.frombuffer(y, _RECORD)
-                n, factor, shift = consensus(y, x)
-                if n < MIN_INLIERS:
-                    n, back, shift = consensus(x, y)
-                    factor = 1 / back if back else 0j
-                    shift = -shift * factor
+                n, factor, shift = consensus(x, y)
                 if n >= MIN_INLIERS:
                     of.append(i)
                     rows.append((n, abs(factor), float(np.degrees(np.angle(factor))), shift.real, shift.imag))
             at = pa.array(of, pa.int64())
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64()] + [pa.float64()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["u", "v", "inliers", "scale", "turn", "dx", "dy"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["q", "cid", "inliers", "scale", "turn", "dx", "dy"])
 
-    up, vp = (classes.select(F.col("cid").alias(c), F.col("points").alias(c + "p")) for c in "uv")
-    rows = pairs.join(up, "u").join(vp, "v").select("u", "v", "up", "vp")
-    return rows.mapInArrow(each, "u long, v long, inliers long, scale double, turn double, dx double, dy double")
+    asked = queries.select(F.col("cid").alias("q"), F.col("points").alias("qp"))
+    rows = pairs.join(asked, "q").join(classes.select("cid", "points"), "cid").select("q", "cid", "qp", "points")
+    return rows.mapInArrow(each, "q long, cid long, inliers long, scale double, turn double, dx double, dy double")
 
 
-def find_copies(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (page_id, edited, cid), classes (cid, points, component) and links (u, v, inliers, scale, turn, dx, dy)."""
-    spark = pages.sparkSession
-    all_ = Written(described(pages), "described")
-    classes = written(all_.df.groupBy("sig").agg(F.first("points").alias("points")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    rows = written(all_.df.select("page_id", "edited", "sig").join(classes.select("sig", "cid"), "sig").drop("sig"), "rows")
-    all_.drop()
-    release(spark)
-    pairs = written(candidates(classes), "pairs")
-    release(spark)
-    links = written(confirmed(pairs, classes), "links")
+def find_copies(images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, query, cid), classes (cid, query, points) and links (q, cid, inliers, scale, turn, dx, dy) from the class of
+    a query to that of an image, for described images."""
+    spark = images.sparkSession
+    every = Written(images, "described")
+    classes = Written(every.df.groupBy("cid", "query").agg(F.first("points").alias("points")), "classes")
+    rows = Written(every.df.select("id", "query", "cid"), "rows")
+    every.drop()
     release(spark)
-    named = connected_components(links.select("u", "v")).withColumnRenamed("node", "cid")
-    known = classes.join(named, "cid", "left").select("cid", "points", F.coalesce("comp", "cid").alias("comp"))
-    rest = written(remaining(known, pairs), "rest")
+    queries, base = classes.df.where("query"), classes.df.where("NOT query")
+    pairs = Written(candidates(queries, base), "pairs")
     release(spark)
-    links = links.unionByName(written(confirmed(rest, classes), "more_links"))
+    links = Written(confirmed(pairs.df, queries, base), "links")
+    pairs.drop()
     release(spark)
-    named = connected_components(links.select("u", "v")).withColumnRenamed("node", "cid")
-    return rows, classes.join(named, "cid", "left").select("cid", "points", F.coalesce("comp", "cid").alias("component")), links
+    return rows.df, classes.df, links.df
 
 
 def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each page: the smallest page with the same picture, that of its component, its picture's keypoints and links, and
-    whether its edited copy, if it has one, came to its component."""
-    rows, classes, links = find_copies(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    ends = links.select(F.col("u").alias("cid")).unionByName(links.select(F.col("v").alias("cid")))
-    known = classes.select("cid", "component", F.floor(F.octet_length("points") / _RECORD.itemsize).alias("n_keypoints")).join(ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links")), "cid", "left")
-    known = written(rows.join(known, "cid"), "known")
-    pictures = known.where("NOT edited").groupBy("cid", "component").agg(F.min("page_id").alias("picture_id"))
-    components = pictures.groupBy("component").agg(F.min("picture_id").alias("component_id"))
-    copies = known.where("edited").groupBy("page_id").agg(F.min("component").alias("copy"))
-    out = known.where("NOT edited").join(pictures.select("cid", "picture_id"), "cid").join(components, "component").join(copies, "page_id", "left")
-    found = F.when(F.col("copy").isNotNull(), F.col("copy") == F.col("component")).alias("found")
-    return out.select("page_id", "picture_id", "component_id", "n_keypoints", F.coalesce("n_links", F.lit(0)).alias("n_links"), found)
+    """For each page: the smallest page with the same picture, its keypoints, and the queries that link to it (n_links). For a
+    page whose id is divisible by 50 also whether its edited copy links to its picture (found), to how many pictures it
+    links (n_found) and to which best (best_id, the smallest page with that picture)."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long").alias("page_id"), "html")
+    rows, classes, links = find_copies(described(pages, ["page_id", "html"], drawn_pages))
+    n_queries = rows.where("query").groupBy(F.col("cid").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    n_links = links.join(n_queries, "q").groupBy("cid").agg(F.sum("n").alias("n_links"))
+    pictures_ = rows.where("NOT query").groupBy("cid").agg(F.min("id").alias("picture_id"))
+    pictures_ = pictures_.join(classes.where("NOT query").select("cid", F.floor(F.octet_length("points") / _RECORD.itemsize).alias("n_keypoints")), "cid").join(n_links, "cid", "left")
+    pictures_ = Written(pictures_, "pictures").df
+    hits = links.join(pictures_.select("cid", "picture_id"), "cid")
+    best = hits.groupBy("q").agg(F.count(F.lit(1)).alias("n_found"), F.min_by("picture_id", F.struct(-F.col("inliers"), "picture_id")).alias("best_id"))
+    asked = rows.where("query").select(F.col("id").alias("page_id"), F.col("cid").alias("q"))
+    own = rows.where("NOT query").select(F.col("id").alias("page_id"), "cid")
+    linked = links.select("q", "cid", F.lit(True).alias("linked"))
+    found = asked.join(own, "page_id").join(linked, ["q", "cid"], "left").join(best, "q", "left")
+    found = found.groupBy("page_id").agg(F.max(F.coalesce("linked", F.lit(False))).alias("found"), F.max(F.coalesce("n_found", F.lit(0))).alias("n_found"), F.min("best_id").alias("best_id"))
+    out = own.join(pictures_, "cid").join(found, "page_id", "left")
+    return out.select("page_id", "picture_id", "n_keypoints", F.coalesce("n_links", F.lit(0)).alias("n_links"), "found", "n_found", "best_id")

@@ -6,7 +6,7 @@ of the mix or look-behind in patterns; those queries are tested against brute fo
 
 from __future__ import annotations
 
-from .licenses import CONTAINMENT, PHRASES, TEMPLATES, words_of
+from .licenses import CONTAINMENT, PHRASES, TEMPLATES, required, words_of
 from .warc import LEAST
 
 # --- chat: the formatted length follows from the template
@@ -37,15 +37,16 @@ _WORDS = rf"regexp_extract_all(translate({{}}, '{_UPPER}', '{_UPPER.lower()}'),
 _PLACES = " || ".join(
     f"list_transform(list_filter(range(len(w) - {len(p.split()) - 1}), lambda i: w[i + 1 : i + {len(p.split())}] = {_list(p.split())}), lambda i: {{'at': i, 'label': '{label}'}})" for p, label in PHRASES.items()
 )
-_TEMPLATES = ", ".join(f"('{label}', {_list(sorted(x.decode() for x in set(words_of(t.encode()))))})" for label, texts in TEMPLATES.items() for t in texts)
+_SETS = [(label, frozenset(words_of(t.encode()))) for label, texts in TEMPLATES.items() for t in texts]
+_TEMPLATES = ", ".join(f"('{label}', {_list(sorted(x.decode() for x in s))}, CAST({_list(sorted(x.decode() for x in required(s)))} AS VARCHAR[]))" for label, s in _SETS)
 LICENSES = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 p AS (SELECT r, doc_id, w, {_PLACES} AS places FROM (SELECT r, doc_id, {_WORDS.format("text")} AS w FROM d)),
 paragraphs AS (SELECT r, unnest(string_split_regex(text, '\n[\x20\x09-\x0D]*\n')) AS block FROM d),
 blocks AS (SELECT r, block FROM paragraphs UNION ALL SELECT r, unnest(string_split(block, chr(10))) FROM paragraphs),
 sets AS (SELECT r, list_distinct({_WORDS.format("block")}) AS own FROM blocks),
-t(label, t) AS (VALUES {_TEMPLATES}),
-hits AS (SELECT r, label, len(list_intersect(own, t)) / len(t) AS share FROM sets, t WHERE len(list_intersect(own, t)) >= {CONTAINMENT} * len(t) - 1e-9),
+t(label, t, needed) AS (VALUES {_TEMPLATES}),
+hits AS (SELECT r, label, len(list_intersect(own, t)) / len(t) AS share FROM sets, t WHERE len(list_intersect(own, t)) >= {CONTAINMENT} * len(t) - 1e-9 AND len(list_intersect(own, needed)) = len(needed)),
 found AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS best FROM hits GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
     CAST(list_min(list_transform(places, lambda x: x.at)) AS BIGINT) AS first_word, CAST(list_max(list_transform(places, lambda x: x.at)) AS BIGINT) AS last_word,

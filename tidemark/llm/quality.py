@@ -2,18 +2,22 @@
 
 Texts are parted into runs of letters and digits and runs of marks. Every run and every pair of neighbouring runs falls
 into one of BUCKETS buckets. Two multinomials are counted over
-the buckets: one over the whole raw corpus, one over trusted documents. The trusted one is shrunk towards the raw one
+the buckets: one over the whole raw corpus, in which every text counts once however many copies it has, one over trusted
+documents. The trusted one is shrunk towards the raw one
 (PRIOR pseudo-counts), so that a bucket the trusted documents say little about speaks neither way. A document's score
-is the mean over its n-grams of log(p_trusted / p_raw), and it is kept if that is at least THRESHOLD: each document is
+is the mean over its n-grams of log(p_trusted / p_raw), and it is kept if that is at least a threshold: each document is
 decided on its own, the same way in every run.
 
-Marks are parted from letters because junk shows in them, and a mark's count is as sure as a common word's. On held-out
-labels of the test tables, clean documents score above -0.31 with 30 trusted documents and above -0.04 with a thousand,
-and bad ones below -0.36 and -0.6.
+Marks are parted from letters because junk shows in them, and a mark's count is as sure as a common word's.
 
-The trusted documents are the classifier's labelled sample: at most MAX_TRUSTED of the rows of `labels` with quality 1
-and toxic 0, those of least xxhash64(doc_id). The raw counts cover every document. Counts are summed inside each
-partition before the shuffle; the driver gets BUCKETS rows, whatever the input's size.
+The labelled sample is at most MAX_LABELLED rows of `labels` of each kind, those of least xxhash64(doc_id): trusted ones with
+quality 1 and toxic 0, bad ones with quality 0. Every FOLD-th of either by that hash is kept from the counts; on this fold
+the threshold is set, in the middle of the scores between which it errs least, bad and trusted documents having equal
+weight. Without documents of both kinds in the fold it is THRESHOLD. The raw counts cover every document. Copies of a text
+go, within partitions and then over a shuffle by digest; counts are summed inside each partition before the shuffle; the
+driver gets BUCKETS rows and the fold's scores, whatever the input's size.
+
+What no trusted document is like scores low: a language that has no labels at all is rejected.
 
 Defined cases: a null text has no words; a text without words scores 0 and fails the base rules. Without any trusted
 document all scores are 0. Repeated rows are judged alike, each on its own. Other columns are ignored. An empty table
@@ -37,7 +41,7 @@ from .common import as_bytes
 
 BUCKETS = 1 << 14
 PRIOR = 20_000.0
-MAX_TRUSTED = 20_000
+MAX_LABELLED, FOLD = 20_000, 4
 THRESHOLD = -0.32
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -78,37 +82,85 @@ def buckets_of(raw: bytes, n_buckets: int = BUCKETS) -> np.ndarray:
     return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % n_buckets
 
 
-def trusted_ids(labels: DataFrame, at_most: int = MAX_TRUSTED) -> list[int]:
-    """doc_id of the trusted sample: good, not toxic, at_most of them."""
-    ids = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return [r[0] for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most).collect()]
+def labelled(labels: DataFrame, good: bool, at_most: int = MAX_LABELLED) -> tuple[list[int], list[int]]:
+    """doc_id of the labelled sample of a kind: those that are counted, and those of the fold that sets the threshold."""
+    kind = "quality = 1 AND coalesce(toxic, 0) = 0" if good else "quality = 0"
+    ids = labels.where(f"{kind} AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rows = ids.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(at_most).collect()
+    return [r[0] for r in rows if r[1] % FOLD], [r[0] for r in rows if not r[1] % FOLD]
 
 
-def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, prior: float = PRIOR, at_most: int = MAX_TRUSTED) -> np.ndarray:
-    """log(p_trusted / p_raw) of each bucket."""
-    trusted = docs.sparkSession.sparkContext.broadcast(frozenset(trusted_ids(labels, at_most)))
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """doc_ids and text of each text, once; the texts of a task are told apart by digest before they move."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            new = []
+            for d in b.column("digest").to_pylist():
+                new.append(d not in seen)
+                seen.add(d)
+            yield b.filter(pa.array(new, pa.bool_()))
+
+    rows = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
+    shape = f"doc_id {kind}, text string, digest binary"
+    return rows.mapInArrow(once, shape).repartition("digest").mapInArrow(once, shape).select("doc_id", "text")
+
+
+def _counts(docs: DataFrame, n_buckets: int, ids: frozenset | None = None) -> np.ndarray:
+    """n-grams of each bucket, in all rows or in those with one of the ids."""
+    asked = docs.sparkSession.sparkContext.broadcast(ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
+        n, seen = np.zeros(n_buckets, np.int64), set()
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), as_bytes(b, "text"), strict=True):
-                n = np.bincount(buckets_of(t or b"", n_buckets), minlength=n_buckets)
-                raw += n
-                if i in trusted.value:
-                    good += n
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "good"])
-
-    counted = docs.select("doc_id", "text").mapInArrow(count, "bucket int, raw long, good long")
-    rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
-    raw, good = np.zeros(n_buckets), np.zeros(n_buckets)
-    raw[rows["bucket"].to_numpy(np.int64)], good[rows["bucket"].to_numpy(np.int64)] = rows["raw"], rows["good"]
+                if asked.value is None or (i in asked.value and i not in seen):
+                    n += np.bincount(buckets_of(t or b"", n_buckets), minlength=n_buckets)
+                    if asked.value is not None:
+                        seen.add(i)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["bucket", "n"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(n_buckets)
+    out[rows["bucket"].to_numpy(np.int64)] = rows["n"]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, prior: float = PRIOR, at_most: int = MAX_LABELLED) -> np.ndarray:
+    """log(p_trusted / p_raw) of each bucket."""
+    good = _counts(docs, n_buckets, frozenset(labelled(labels, True, at_most)[0]))
     if not good.sum():
         return np.zeros(n_buckets)
+    raw = _counts(distinct_texts(docs), n_buckets)
     p_raw = (raw + 0.5) / (raw.sum() + 0.5 * n_buckets)
     return np.log((good + prior * p_raw) / (good.sum() + prior) / p_raw)
 
 
+def best_cut(good: list[float], bad: list[float], otherwise: float = THRESHOLD) -> float:
+    """The score that parts good from bad best, each kind having the same weight; the middle between its neighbours."""
+    if not good or not bad:
+        return otherwise
+    scores = np.unique(np.array(good + bad))
+    below = np.searchsorted(np.sort(good), scores) / len(good), np.searchsorted(np.sort(bad), scores) / len(bad)
+    gain = below[1] - below[0]  # of keeping from this score on
+    at = int(gain.argmax())
+    return float(scores[at] if at == 0 else (scores[at] + scores[at - 1]) / 2)
+
+
+def threshold(docs: DataFrame, labels: DataFrame, ratios: np.ndarray, at_most: int = MAX_LABELLED) -> float:
+    """From the scores of the fold's documents that the base rules keep."""
+    kinds = {i: good for good in (False, True) for i in labelled(labels, good, at_most)[1]}
+    if not kinds:
+        return THRESHOLD
+    spark = docs.sparkSession
+    ids = spark.createDataFrame([(i,) for i in kinds], "doc_id long")
+    rows = judge(docs.join(F.broadcast(ids), "doc_id", "left_semi"), ratios).where("NOT base_failed").groupBy("doc_id").agg(F.min("score").alias("score")).collect()
+    return best_cut([r.score for r in rows if kinds[r.doc_id]], [r.score for r in rows if not kinds[r.doc_id]])
+
+
 def _judge(raw: bytes | None, ratios: np.ndarray, threshold: float) -> tuple:
     words = (raw or b"").split()
     base = base_counts(raw or b"", words)
@@ -144,5 +196,7 @@ def keep_good(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """judge over all documents, with counts and threshold from all of them and their labels."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    ratios = fit(docs, labels)
+    return judge(docs, ratios, threshold(docs, labels, ratios))
