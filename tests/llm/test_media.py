@@ -33,7 +33,7 @@ def test_tests_turn_with_the_image(images):
     """A quarter turn moves the keypoints and leaves the descriptors."""
     p, q = points(images[0]), points(np.rot90(images[0]))
     n, factor, _ = M.consensus(q, p)
-    assert n >= 12 and (abs(factor - 1j) < 0.05 or abs(factor + 1j) < 0.05)
+    assert n >= M.MIN_INLIERS and (abs(factor - 1j) < 0.05 or abs(factor + 1j) < 0.05)
     d = np.bitwise_count(q["d"][:, None] ^ p["d"][None]).sum(2).min(1)
     assert np.median(d) <= 6
 

@@ -45,9 +45,9 @@ ASKED_SCALES, ASKED_PER_KEYPOINT = (4 / 3, 1.0, 0.75), 100
 LEAST_KEYPOINTS = 16
 RADIUS, MARGIN, ANGLES = 8, 9, 32
 TABLES, KEY_BITS = 4, 32
-MAX_DISTANCE = 28
+MAX_DISTANCE = 22
 MIN_HITS = 2
-MIN_INLIERS, TOLERANCE, SPOT = 5, 3.0, 10.0
+MIN_INLIERS, TOLERANCE, SPOT = 7, 1.5, 6.0
 PARTNERS = 48
 EVERY = 50
 #: Pixels that are described at once.
