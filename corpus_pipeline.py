@@ -14,7 +14,9 @@ from tidemark.llm.common import written
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the quality rules reject goes."""
-    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratios = quality.fit(docs, labels)
+    return quality.keep_good(docs, ratios, quality.threshold(docs, labels, ratios))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
