@@ -5,7 +5,8 @@ image, one for PER_KEYPOINT pixels; of queries, which are few, more on a finer p
 two places is brighter, on a pattern turned by that direction. The smoothed image is read; a change of tone leaves the
 tests as they are.
 
-Joining. TABLES keys of KEY_BITS of the 128 bits each: every image that a query shares MIN_HITS buckets with is its
+Joining. TABLES keys of KEY_BITS of the 128 bits each; a query has further keys, in each of which one of its UNSURE tests is
+turned over, so that keys can be long, and strangers few, without losing copies. Every image that a query shares MIN_HITS buckets with is its
 candidate. The query set is stated (a fiftieth of all rows), so the keys of queries, which are few, are joined with those
 of all images; no bucket is cut, and no image stands for others. A patch that many images have costs the number of queries
 that have it times theirs.
@@ -38,22 +39,24 @@ from pyspark.sql import functions as F
 
 from .common import Written, as_bytes, release
 
-LEAST_SIDE = 48
-SCALES, PER_KEYPOINT = (1.0, 0.75), 240
+LEAST_SIDE = 64
+SCALES, PER_KEYPOINT = (1.0, 0.75), 480
 #: Queries are few, and are described more closely.
-ASKED_SCALES, ASKED_PER_KEYPOINT = (4 / 3, 1.0, 0.75), 100
-LEAST_KEYPOINTS = 16
-RADIUS, MARGIN, ANGLES = 8, 9, 32
-TABLES, KEY_BITS = 4, 32
-MAX_DISTANCE = 22
+ASKED_SCALES, ASKED_PER_KEYPOINT = (4 / 3, 1.0, 0.75), 160
+LEAST_KEYPOINTS = 20
+RADIUS, MARGIN, ANGLES = 12, 13, 32
+TABLES, KEY_BITS = 4, 56
+#: Tests of a query that are closest to call and may have come out otherwise in a copy.
+UNSURE = 12
+MAX_DISTANCE = 30
 MIN_HITS = 2
-MIN_INLIERS, TOLERANCE, SPOT = 7, 1.5, 6.0
+MIN_INLIERS, TOLERANCE, SPOT = 6, 1.5, 6.0
 PARTNERS = 48
 EVERY = 50
 #: Pixels that are described at once.
 STACK = 1 << 20
-#: A keypoint: its place in half pixels, and the results of its tests.
-_RECORD = np.dtype([("x", "<u4"), ("y", "<u4"), ("d", "<u8", 2)])
+#: A keypoint: its place in half pixels, the results of its tests, and of queries which of these are unsure.
+_RECORD = np.dtype([("x", "<u4"), ("y", "<u4"), ("d", "<u8", 2), ("unsure", "<u8", 2)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -192,15 +195,29 @@ def describe(images: np.ndarray, asked: bool = False) -> list[np.ndarray]:
         out = np.empty(len(of), _RECORD)
         out["x"], out["y"] = np.rint((2 * x + 1) / scale), np.rint((2 * y + 1) / scale)
         out["d"] = np.packbits(value[..., 0] < value[..., 1], axis=1, bitorder="little").view("<u8")
+        out["unsure"] = 0
+        if asked:
+            margin = np.abs(value[..., 0] - value[..., 1])
+            weak = margin <= np.partition(margin, UNSURE - 1, axis=1)[:, UNSURE - 1 : UNSURE]
+            out["unsure"] = np.packbits(weak, axis=1, bitorder="little").view("<u8")
         for i, part in enumerate(np.split(out, np.searchsorted(of, np.arange(1, len(images))))):
             found[i].append(part)
     return [np.concatenate(x) if x else np.empty(0, _RECORD) for x in found]
 
 
+def _bits_of(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+
+
 def keys_of(points: np.ndarray) -> np.ndarray:
-    """The key of each point in each table, (points, TABLES)."""
-    bits = np.unpackbits(np.ascontiguousarray(points["d"]).view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
-    return (bits[:, _BITS].astype(np.int64) << np.arange(KEY_BITS)).sum(2) | (np.arange(TABLES, dtype=np.int64) << 40)
+    """The keys of points, once each: of each table that of the results, and those with one unsure result turned over."""
+    bits, weak, keys = _bits_of(points["d"])[:, _BITS], _bits_of(points["unsure"])[:, _BITS] > 0, []
+    own = (bits.astype(np.uint64) << np.arange(KEY_BITS, dtype=np.uint64)).sum(2, dtype=np.uint64)
+    i, t, k = np.nonzero(weak)
+    turned = own[i, t] ^ (np.uint64(1) << k.astype(np.uint64))
+    table = np.broadcast_to(np.arange(TABLES), own.shape)
+    keys = _mix(_mix(np.concatenate((own.ravel(), turned))) ^ np.concatenate((table.ravel(), t)).astype(np.uint64))
+    return np.unique(keys.view(np.int64)) if len(points) else np.zeros(0, np.int64)
 
 
 def consensus(query: np.ndarray, other: np.ndarray) -> tuple[int, complex, complex]:
@@ -294,7 +311,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
             cids, blobs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for at in range(0, len(cids), 256):
                 parts = [np.frombuffer(x, _RECORD) for x in blobs[at : at + 256]]
-                keys = [np.unique(keys_of(p)) if len(p) else np.zeros(0, np.int64) for p in parts]
+                keys = [keys_of(p) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cids[at : at + 256], [len(k) for k in keys])), pa.array(np.concatenate(keys))], ["cid", "key"])
 
     return rows.select("cid", "points").mapInArrow(each, "cid long, key long")
