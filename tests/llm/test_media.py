@@ -77,7 +77,7 @@ def test_keys_agree_with_bits(images):
 
 
 def pages(spark):
-    rows = [(i, html(i), "clash") for i in range(0, 2000, 50)] + [(i, html(i), "clash") for i in range(1, 40)] + [(1001, html(0), "c"), (1061, html(50), "c"), (None, html(100), "c"), (None, None, None), (47, "", "c"), (50, html(50), "c"), (50, html(7), "c")]
+    rows = [(i, html(i), "clash") for i in range(0, 6000, 50)] + [(i, html(i), "clash") for i in range(1, 40)] + [(1001, html(0), "c"), (1061, html(50), "c"), (None, html(100), "c"), (None, None, None), (47, "", "c"), (50, html(50), "c"), (50, html(7), "c")]
     return rows, spark.createDataFrame(rows, "page_id long, html string, query string")
 
 
@@ -88,7 +88,7 @@ def test_links_against_all_pairs(spark):
     for n in (3, 11):
         every, classes, links = M.find_copies(M.described(df.repartition(n), ["page_id", "html"], M.drawn_pages))
         own = {(r.cid, r.query): np.frombuffer(r.points, M._RECORD) for r in classes.collect()}
-        assert every.where("NOT query").count() == len(rows) and every.where("query").count() == 42
+        assert every.where("NOT query").count() == len(rows) and every.where("query").count() == 122
         want = set()
         for (q, asked), x in own.items():
             for (c, other), y in own.items():
@@ -112,8 +112,8 @@ def test_query_over_cases(spark, tmp_path):
         of.setdefault(r.page_id, r)
     assert of[1001].picture_id == 0 and of[1061].picture_id == 50 and of[47].n_keypoints == 0
     asked = [r for r in got if r.page_id is not None and r.page_id % 50 == 0]
-    assert len(asked) == 42 and np.mean([r.found for r in asked]) >= 0.9 and of[1001].found is None
-    assert all(r.n_links <= 3 for r in got) and sum(r.best_id == r.picture_id for r in asked) >= 36
+    assert len(asked) == 122 and np.mean([r.found for r in asked]) >= 0.9 and of[1001].found is None
+    assert all(r.n_links <= 3 for r in got) and sum(r.best_id == r.picture_id for r in asked) >= 105
     df.limit(0).write.parquet(str(tmp_path / "none" / "pages.parquet"))
     assert M.op2_media_copies(spark, str(tmp_path / "none")).count() == 0
 

@@ -47,7 +47,7 @@ LEAST_KEYPOINTS = 20
 RADIUS, MARGIN, ANGLES = 12, 13, 32
 TABLES, KEY_BITS = 4, 56
 #: Tests of a query that are closest to call and may have come out otherwise in a copy.
-UNSURE = 12
+UNSURE = 16
 MAX_DISTANCE = 30
 MIN_HITS = 2
 MIN_INLIERS, TOLERANCE, SPOT = 6, 1.5, 6.0
