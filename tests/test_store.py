@@ -173,6 +173,7 @@ def test_repair(spark, tmp_path):
     shutil.rmtree(path / "_commits")
     (path / "tables" / "bad").mkdir()
     (path / "tables" / "bad" / "part-0.parquet").write_bytes(b"no table")
+    (path / "tables" / "bad" / "_made").write_bytes(b"")
     with pytest.raises(StoreError):
         Store.open(spark, str(path))
     repair(spark, str(path))
@@ -191,3 +192,168 @@ def test_stream(spark, tmp_path):
         assert dict(live(s)) == {str(i).encode(): str(90 + i).encode() for i in range(10)}
         ingest(s, stream, ["id"], str(tmp_path / "c2"), once=True).awaitTermination(60)
         assert s.last_seq == 100
+
+
+def test_repair_leaves_dead_rows_dead(spark, tmp_path):
+    """A deletion whose table is gone stays in force, and so does the absence of writes that never ended."""
+    import shutil
+
+    path = tmp_path / "s"
+    with Store.open(spark, str(path), auto_compact=False) as s:
+        s.put("k", "old")
+        s.put("other", "1")
+        s.flush()
+        s.delete("k")
+        s.flush()
+        s.compact_range()
+        assert s.get("k") is None
+        s.delete_obsolete(0.0)
+    left = [x for x in (path / "tables").iterdir()]
+    unfinished = path / "tables" / "unfinished"
+    shutil.copytree(left[0], unfinished)
+    (unfinished / "_made").unlink()
+    shutil.rmtree(path / "_commits")
+    repair(spark, str(path))
+    with Store.open(spark, str(path)) as s:
+        assert s.get("k") is None and live(s) == [(b"other", b"1")] and s.log().count() == 1
+
+
+def test_repair_after_part_of_the_inputs_went(spark, tmp_path):
+    import shutil
+
+    path = tmp_path / "s"
+    with Store.open(spark, str(path), auto_compact=False) as s:
+        s.put("k", "old")
+        s.flush()
+        kept = {x.name for x in (path / "tables").iterdir()}
+        s.delete("k")
+        s.flush()
+        s.compact_range()
+        copy = tmp_path / "copy"
+        shutil.copytree(path / "tables", copy)
+        s.delete_obsolete(0.0)
+    # as if deleting had stopped before the older table went
+    for name in kept:
+        shutil.copytree(copy / name, path / "tables" / name)
+    shutil.rmtree(path / "_commits")
+    repair(spark, str(path))
+    with Store.open(spark, str(path)) as s:
+        assert s.get("k") is None and live(s) == []
+
+
+def test_repair_drops_malformed_rows(spark, tmp_path):
+    import shutil
+
+    from tidemark.model import LOG
+
+    path = tmp_path / "s"
+    with Store.open(spark, str(path), auto_compact=False) as s:
+        s.put("a", "1")
+        s.flush()
+    spark.createDataFrame([(bytearray(b"b"), 2, 1, bytearray(b"2")), (bytearray(b"c"), -5, 1, None), (bytearray(b"d"), 3, 9, None)], LOG).coalesce(1).write.parquet(str(path / "tables" / "more"))
+    (path / "tables" / "more" / "_made").write_bytes(b"")
+    shutil.rmtree(path / "_commits")
+    repair(spark, str(path))
+    with Store.open(spark, str(path)) as s:
+        assert live(s) == [(b"a", b"1"), (b"b", b"2")] and s.log().count() == 2
+
+
+def test_lock_has_one_owner(spark, tmp_path):
+    from tidemark.sources.files import Folder
+    from tidemark.sources.lock import Lock
+
+    folder = Folder(spark, str(tmp_path))
+    a = Lock(folder, 0.4)
+    a.take()
+    a._stop.set()  # it stops refreshing, as if it hung
+    import time
+
+    time.sleep(0.6)
+    b = Lock(folder, 0.4)
+    b.take()
+    a._stop.clear()
+    a._refresh()
+    assert a.lost and not b.lost and folder.read("LOCK") == b.owner.encode()
+    b.release()
+
+
+def test_waiting_writers_commit_together(spark, tmp_path):
+    from tidemark.operators.batch import leading_group
+
+    assert leading_group([(10, False), (10, False), (10, True), (10, False)]) == 2
+    assert leading_group([(10, True), (10, False), (10, True)]) == 3
+    assert leading_group([(10, False), (128 << 10, False), (1, False)]) == 2
+    assert leading_group([(200 << 10, False)] * 9) == 5
+    assert leading_group([(5 << 20, False), (1, False)]) == 1
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        workers = [threading.Thread(target=lambda i=i: [s.put(f"{i}-{j}", "v") for j in range(50)]) for i in range(8)]
+        [w.start() for w in workers]
+        [w.join() for w in workers]
+        assert s.last_seq == 400 and len(live(s)) == 400 and not s._waiting
+
+
+def test_outputs_end_where_too_much_lies_below(spark, tmp_path):
+    from tidemark.sources import tables
+    from tidemark.sources.files import Folder
+    from tidemark.model import LOG, Options
+
+    folder = Folder(spark, str(tmp_path))
+    rows = spark.createDataFrame([(bytearray(b"%03d" % i), i + 1, 1, bytearray(b"v")) for i in range(300)], LOG)
+    made = tables.write(rows, folder, 1, 7, 1, Options(), [b"050", b"199"])
+    ends = [(f.smallest_k, f.largest_k) for f in made]
+    assert ends == sorted(ends) and sum(f.n_rows for f in made) == 300
+    assert {hi for _, hi in ends} >= {b"050", b"199", b"299"} and {lo for lo, _ in ends} >= {b"000", b"051", b"200"}
+    assert all(f.max_seq - f.min_seq + 1 == f.n_rows == int(f.largest_k) - int(f.smallest_k) + 1 for f in made)
+    assert tables.read(spark, folder, made).count() == 300
+    assert [x.__dict__ for x in tables.describe(spark, folder, [f.path for f in made], 1, 7)] == [x.__dict__ for x in made]
+
+
+def test_feed_brings_new_rows_once(spark, tmp_path):
+    from tidemark.streaming.ingest import change_feed
+
+    seen = []
+    with Store.open(spark, str(tmp_path / "s"), auto_compact=False) as s:
+
+        def follow():
+            change_feed(s, lambda rows, n: seen.append(sorted((bytes(r.k), r.seq) for r in rows.collect())), str(tmp_path / "c"), once=True).awaitTermination(60)
+
+        s.put("a", "1")
+        s.flush()
+        follow()
+        s.put("b", "2")
+        s.delete("a")
+        s.flush()
+        # a table of a write that never committed
+        spark.createDataFrame([(bytearray(b"x"), 9, 1, None)], s.log().schema).write.parquet(str(tmp_path / "s" / "tables" / "no"))
+        s.compact_range()
+        follow()
+        follow()
+    assert seen == [[(b"a", 1)], [(b"a", 3), (b"b", 2)]]
+
+
+def test_slow_and_full_level_0(spark, tmp_path):
+    import time
+
+    with Store.open(spark, str(tmp_path / "s"), auto_compact=False, l0_trigger=2, l0_slowdown=2, l0_stop=3, max_flush_level=0, write_buffer=40, slowdown_s=0.3) as s:
+        for i in range(3):
+            s.put("k", "v" * 60)
+            s.flush()
+        started = time.perf_counter()
+        s.put("k", "w" * 60)
+        assert time.perf_counter() - started >= 0.3
+        s.put("k", "x" * 60)
+        assert s._n_level_0() <= 3 and s.get("k") == b"x" * 60
+
+
+def test_multi_get_opens_few_files(spark, tmp_path):
+    from tidemark.functions import keys
+
+    rows = spark.range(1000).select(F.lit(1).alias("op"), keys.long_key("id").alias("k"), F.encode(F.col("id").cast("string"), "UTF-8").alias("v"), "id")
+    with Store.open(spark, str(tmp_path / "s"), auto_compact=False) as s:
+        s.write_frame(rows, ["id"], n_files=8)
+        asked = spark.range(10, 13).select(keys.long_key("id").alias("k"))
+        found = s.multi_get(asked)
+        assert sorted(bytes(r.v) for r in found.collect()) == [b"10", b"11", b"12"]
+        assert len([x for x in found.inputFiles()]) == 1
+        many = s.multi_get(spark.range(0, 2000, 3).select(keys.long_key("id").alias("k")))
+        assert many.count() == 667 and many.where("v IS NOT NULL").count() == 334

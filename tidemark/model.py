@@ -38,12 +38,13 @@ MANIFEST = T.StructType(
 @dataclass(frozen=True)
 class Options:
     """Levels 7, level-0 limits 4, 8 and 12, deepest flush level 2, level budget 10 MiB times 10 a level,
-    overlap limits 10 and 25 files, lock stale after 10 s. The sizes of buffer and files suit Parquet on a cluster."""
+    overlap limits 10 and 25 files, a write that waits 1 s, lock stale after 10 s. The sizes of buffer and files suit Parquet on a cluster."""
 
     levels: int = 7
     l0_trigger: int = 4
     l0_slowdown: int = 8
     l0_stop: int = 12
+    slowdown_s: float = 1.0
     max_flush_level: int = 2
     level_bytes: int = 10 << 20
     level_factor: int = 10

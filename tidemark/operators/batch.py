@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -56,14 +56,33 @@ def dealt(ops: DataFrame, order: list[Column | str]) -> DataFrame:
 def with_versions(parted: DataFrame, base: int, order: list[Column | str]) -> DataFrame:
     """k, seq, op, v of what dealt() gave: seq is base + place, from 1.
 
-    Places come from two passes: rows are counted in each range, and numbered within it from the sum of the counts
-    before. No task sees all rows.
+    Rows are counted in each range, a number for each comes to the driver, and each range is sorted and numbered where it
+    lies, from the sum of the counts before. No task sees all rows, and nothing is shuffled.
     """
-    counts = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = parted.join(counts.select("_part", before.alias("_before")), "_part")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.select("k", (F.lit(base) + F.col("_before") + place).cast("long").alias("seq"), F.col("op").cast("byte").alias("op"), "v")
+    counts = dict(parted.groupBy("_part").count().collect())
+    before, at = [], base
+    for i in range(max(counts, default=-1) + 1):
+        before.append(at)
+        at += counts.get(i, 0)
+    if not before:
+        return parted.select("k", F.lit(0).cast("long").alias("seq"), F.col("op").cast("byte").alias("op"), "v")
+    # the low bits of these ids are the row's place in its partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = parted.sortWithinPartitions(*order).withColumn("_place", place)
+    return placed.select("k", (F.get(F.lit(before), F.col("_part")) + F.col("_place") + 1).cast("long").alias("seq"), F.col("op").cast("byte").alias("op"), "v")
+
+
+def leading_group(waiting: Sequence[tuple[int, bool]], cap: int = 1 << 20, small: int = 128 << 10) -> int:
+    """How many of the waiting writers (bytes, sync) commit together, the first of them leading: as many as stay below a
+    limit, which is lower where the first is small, and no sync writer behind one that is not. Fixed values: 1 MiB, 128 KiB."""
+    n, sync = waiting[0]
+    limit = n + small if n <= small else cap
+    for i, (size, wants_sync) in enumerate(waiting):
+        if i:
+            n += size
+            if n > limit or (wants_sync and not sync):
+                return i
+    return len(waiting)
 
 
 def group_sizes(ops: DataFrame, limit: float, order: str = "seq") -> DataFrame:

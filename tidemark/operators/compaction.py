@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import FileMeta, Options
+from . import ranges
 from .versions import newest
 
 
@@ -28,16 +29,24 @@ def compacted(log: DataFrame, smallest_snapshot: int, deeper: DataFrame | None =
 
 
 def covered(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """The rows whose key lies in some range (smallest_k, largest_k) of files, which are few and known to the driver."""
-    ranges = files.select("smallest_k", "largest_k")
-    return rows.join(ranges, (ranges["smallest_k"] <= rows["k"]) & (rows["k"] <= ranges["largest_k"]), "left_semi")
+    """The rows whose key lies in some range (smallest_k, largest_k) of files."""
+    return ranges.inside(rows, files)
 
 
 def range_pairs(files: DataFrame) -> DataFrame:
     """a, b: files with overlapping key ranges, a < b. Files (file_no, lo, hi) of a manifest."""
-    a = files.select(F.col("file_no").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    b = files.select(F.col("file_no").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    return a.join(b, (F.col("a") < F.col("b")) & (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))).select("a", "b")
+    return ranges.overlaps(files)
+
+
+def meeting(files: DataFrame, lo, hi) -> DataFrame:
+    """The files (lo, hi) whose range meets [lo, hi]; None is no bound."""
+    found = files if hi is None else files.where(F.col("lo") <= F.lit(hi))
+    return found if lo is None else found.where(F.col("hi") >= F.lit(lo))
+
+
+def key_range(files: DataFrame) -> DataFrame:
+    """lo, hi of all files (lo, hi)."""
+    return files.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def boundary_pairs(files: DataFrame) -> DataFrame:
@@ -108,26 +117,46 @@ def scores(files: Iterable[FileMeta], options: Options) -> list[float]:
     return out
 
 
+def _meeting(files: list[FileMeta], level: int, others: list[FileMeta]) -> list[FileMeta]:
+    """The files of a level that the range of others meets, without parting a key's versions."""
+    return with_boundary_files(files, overlapping(files, level, *span(others)))
+
+
+def input_sets(level: int, chosen: list[FileMeta], files: list[FileMeta], options: Options) -> tuple[list[FileMeta], list[FileMeta]]:
+    """What is merged of a level and of the next. Of two candidates, the chosen files and all of their level that lie above
+    the same files of the next, the second is taken if it is larger, stays below the limit and draws in nothing more."""
+    own = with_boundary_files(files, chosen)
+    candidates = [(own, _meeting(files, level + 1, own))]
+    if candidates[0][1]:
+        wide = _meeting(files, level, own + candidates[0][1])
+        candidates.append((wide, _meeting(files, level + 1, wide)))
+
+    def allowed(upper: list[FileMeta], lower: list[FileMeta]) -> bool:
+        small = sum(f.size for f in upper + lower) < options.expand_factor * options.max_file_size
+        return small and len(upper) > len(own) and len(lower) == len(candidates[0][1])
+
+    return next((c for c in candidates[1:] if allowed(*c)), candidates[0])
+
+
+def split_keys(grandparents: list[FileMeta], options: Options) -> list[bytes]:
+    """Keys after which an output ends, so that none lies above more than the limit of the files two levels down."""
+    limit, n, out = options.grandparent_factor * options.max_file_size, 0, []
+    for f in sorted(grandparents, key=lambda f: f.largest_k):
+        n += f.size
+        if n > limit:
+            out.append(f.largest_k)
+            n = 0
+    return out
+
+
 class Compaction:
     """Inputs of a level and of the next, and the files one deeper that an output should not meet too many of."""
 
     def __init__(self, level: int, inputs: list[FileMeta], files: list[FileMeta], options: Options):
         self.level, self.options = level, options
-        inputs = with_boundary_files(files, inputs)
-        lo, hi = span(inputs)
-        lower = with_boundary_files(files, overlapping(files, level + 1, lo, hi))
-        if lower:
-            all_lo, all_hi = span(inputs + lower)
-            wide = with_boundary_files(files, overlapping(files, level, all_lo, all_hi))
-            limit = options.expand_factor * options.max_file_size
-            if len(wide) > len(inputs) and sum(f.size for f in wide + lower) < limit:
-                wide_lo, wide_hi = span(wide)
-                if len(with_boundary_files(files, overlapping(files, level + 1, wide_lo, wide_hi))) == len(lower):
-                    inputs, (lo, hi) = wide, (wide_lo, wide_hi)
-        self.inputs, self.lower = inputs, lower
-        all_lo, all_hi = span(inputs + lower)
-        self.grandparents = overlapping(files, level + 2, all_lo, all_hi) if level + 2 < options.levels else []
-        self.pointer = hi
+        self.inputs, self.lower = input_sets(level, inputs, files, options)
+        self.pointer = span(self.inputs)[1]
+        self.grandparents = overlapping(files, level + 2, *span(self.inputs + self.lower)) if level + 2 < options.levels else []
         # files that may hold older versions of a key, below the output's level
         self.deeper = [f for f in files if f.level > level + 1]
 
@@ -152,17 +181,12 @@ def pick(files: list[FileMeta], pointers: dict[int, bytes], options: Options) ->
 
 
 def flush_level(files: list[FileMeta], lo: bytes, hi: bytes, size: int, options: Options) -> int:
-    """The level for a flushed file: the deepest up to max_flush_level that it can sink to without meeting another."""
-    level = 0
-    if overlapping(files, 0, lo, hi):
-        return 0
-    while level < options.max_flush_level:
-        if overlapping(files, level + 1, lo, hi):
-            break
-        if level + 2 < options.levels and sum(f.size for f in overlapping(files, level + 2, lo, hi)) > options.grandparent_factor * options.max_file_size:
-            break
-        level += 1
-    return level
+    """The level for a flushed file: it sinks to just above the first level that blocks it, at most max_flush_level. A level
+    blocks that has files in the way, or that lies above too much of them."""
+    met = [sum(f.size for f in overlapping(files, level, lo, hi)) for level in range(options.levels)]
+    too_much = options.grandparent_factor * options.max_file_size
+    blocked = [level for level, n in enumerate(met) if n or (level and sum(met[level + 1 : level + 2]) > too_much)]
+    return max(0, min([options.max_flush_level + 1, *blocked]) - 1)
 
 
 def applied(base: DataFrame, added: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ _VARIABLE = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
 
 
 def checked(log: DataFrame) -> DataFrame:
-    """log with problem: null for a row that can be, else the column that can't. Repair drops such rows, scans keep them."""
+    """log with problem: null for a row that can be, else the column that can't. Repair drops such
+    rows, scans keep them."""
     seq = F.col("seq").isNull() | (F.col("seq") < 0) | (F.col("seq") > MAX_SEQ)
     op = F.col("op").isNull() | ~F.col("op").isin(DELETE, PUT)
     return log.withColumn("problem", F.when(F.col("k").isNull(), "k").when(seq, "seq").when(op, "op"))
@@ -73,6 +74,11 @@ def diff(log: DataFrame, old: int, new: int) -> DataFrame:
     return a.join(b, "k", "full_outer").where(differs).select("k", change.alias("change"), "old_seq", "new_seq", "old_v", "new_v")
 
 
+def last(log: DataFrame) -> DataFrame:
+    """last_seq of a log, and n_bytes of its keys as text."""
+    return log.agg(F.max("seq").alias("last_seq"), F.sum(F.length(F.col("k").cast("string"))).alias("n_bytes"))
+
+
 def order(rows: DataFrame, reverse: bool = False) -> DataFrame:
     """By key, and newest first where there are versions."""
     k = F.col("k").desc() if reverse else F.col("k").asc()

@@ -6,20 +6,24 @@ The change log is `events`: k = user_id, seq = event_id, op = 0 for clicks (dele
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, keys
+from ..model import LOG
 from ..operators import batch as B
 from ..operators import compaction as C
+from ..operators import ranges
 from ..operators import read as R
 from ..operators import versions as V
 from ..sources.store import Store
-from ..streaming.ingest import ingest
+from ..streaming.ingest import change_feed, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,9 +99,9 @@ def get_at_snapshot(spark, d):
     return R.get(events_log(spark, d), KEY, S1)
 
 
-@query(f"SELECT a.k, b.seq, b.v FROM (SELECT DISTINCT c_custkey k FROM customer WHERE c_custkey < 300) a LEFT JOIN {visible_sql()} b ON a.k = b.k")
+@query(f"SELECT a.k, b.seq, b.v FROM (SELECT DISTINCT c_custkey k FROM customer) a LEFT JOIN {visible_sql()} b ON a.k = b.k")
 def multi_get(spark, d):
-    asked = table(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("k"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     return R.multi_get(events_log(spark, d), asked)
 
 
@@ -141,9 +145,9 @@ def count_at_snapshot(spark, d):
     return R.count(events_log(spark, d), S2)
 
 
-@query(f"SELECT k, seq, op, v, lag(seq) OVER w newer_seq, lead(seq) OVER w older_seq FROM {T} WHERE k < 5 WINDOW w AS (PARTITION BY k ORDER BY seq DESC)")
+@query(f"SELECT k, seq, op, v, lag(seq) OVER w newer_seq, lead(seq) OVER w older_seq FROM {T} t WINDOW w AS (PARTITION BY k ORDER BY seq DESC)")
 def version_history(spark, d):
-    return V.history(events_log(spark, d).where("k < 5"))
+    return V.history(events_log(spark, d))
 
 
 @query(
@@ -163,14 +167,18 @@ def merge_runs(spark, d):
 
 @query(f"SELECT row_number() OVER (ORDER BY k, seq DESC) place, k, seq FROM {T}")
 def internal_order(spark, d):
-    # an exact place needs one order over all rows; the operator itself is V.order
-    return V.order(events_log(spark, d)).select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("k", F.col("seq").desc())).cast("long").alias("place"), "k", "seq")
+    return ranges.ranked(events_log(spark, d), ["k", -F.col("seq")]).select("place", "k", "seq")
+
+
+@query(f"SELECT k, seq FROM {T} ORDER BY k, seq DESC LIMIT 40")
+def first_in_order(spark, d):
+    return V.order(events_log(spark, d)).limit(40).select("k", "seq")
 
 
 @query(f"SELECT * FROM {visible_sql()}")
 def sql_view(spark, d):
-    events_log(spark, d).createOrReplaceTempView("tidemark_events")
-    return spark.sql("SELECT k, seq, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) n FROM tidemark_events) WHERE n = 1 AND op = 1")
+    V.visible(events_log(spark, d)).createOrReplaceTempView("tidemark_live")
+    return spark.sql("SELECT k, seq, v FROM tidemark_live")
 
 
 # --- writing
@@ -275,7 +283,7 @@ def file_overlap(spark, d):
 
 @query(f"SELECT file_no, lo, hi FROM {_FILES} WHERE lo <= 3 AND hi >= 3")
 def file_prune(spark, d):
-    return manifest_files(spark, d).where("lo <= 3 AND hi >= 3").select("file_no", "lo", "hi")
+    return C.meeting(manifest_files(spark, d), 3, 3).select("file_no", "lo", "hi")
 
 
 @query(f"SELECT file_no, level, n_rows FROM {_FILES} WHERE file_no % 10 <> 3")
@@ -292,16 +300,19 @@ def missing_and_obsolete(spark, d):
     return C.missing_files(files, present).select(F.lit("missing").alias("kind"), "file_no").unionByName(gone)
 
 
-@query(
-    f"""SELECT a.file_no, b.file_no AS next_file FROM {_FILES} a JOIN {_FILES} b ON b.level = a.level AND b.file_no <> a.file_no AND b.lo = a.hi"""
-)
+# files of one level, of which some end with the key that the next begins with
+_TOUCHING = "(SELECT n_nationkey file_no, 1 AS level, n_nationkey * 10 lo, n_nationkey * 10 + CASE WHEN n_nationkey % 3 = 0 THEN 5 ELSE 10 END hi FROM nation)"
+
+
+@query(f"SELECT a.file_no, b.file_no AS next_file FROM {_TOUCHING} a JOIN {_TOUCHING} b ON b.level = a.level AND b.file_no <> a.file_no AND b.lo = a.hi")
 def boundary_files(spark, d):
-    return C.boundary_pairs(manifest_files(spark, d))
+    no = F.col("n_nationkey")
+    return C.boundary_pairs(table(spark, d, "nation").select(no.alias("file_no"), F.lit(1).alias("level"), (no * 10).alias("lo"), (no * 10 + F.when(no % 3 == 0, 5).otherwise(10)).alias("hi")))
 
 
 @query(f"SELECT min(lo) lo, max(hi) hi FROM {_FILES} WHERE level IN (1, 2)")
 def key_range(spark, d):
-    return manifest_files(spark, d).where("level IN (1, 2)").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return C.key_range(manifest_files(spark, d).where("level IN (1, 2)"))
 
 
 @query("SELECT CASE WHEN event_id < 0 OR event_id % 11 = 0 THEN 'seq' WHEN event_type = 'error' THEN 'op' ELSE 'well formed' END AS found, count(*) n FROM events GROUP BY ALL")
@@ -313,7 +324,7 @@ def malformed_rows(spark, d):
 
 @query(f"SELECT max(seq) last_seq, CAST(sum(length(k::VARCHAR)) AS BIGINT) n_bytes FROM {T}")
 def last_version(spark, d):
-    return events_log(spark, d).agg(F.max("seq").alias("last_seq"), F.sum(F.length(F.col("k").cast("string"))).alias("n_bytes"))
+    return V.last(events_log(spark, d))
 
 
 # --- functions
@@ -321,14 +332,14 @@ def last_version(spark, d):
 
 @query("SELECT c_custkey, hex(encode(c_name)) hex_key, rank() OVER (ORDER BY encode(c_name)) place FROM customer")
 def binary_order(spark, d):
-    named = table(spark, d, "customer").withColumn("b", keys.text_key("c_name"))
-    return named.select("c_custkey", F.hex("b").alias("hex_key"), F.rank().over(Window.partitionBy(F.lit(1)).orderBy("b")).cast("long").alias("place"))
+    named = table(spark, d, "customer").select("c_custkey", keys.text_key("c_name").alias("b"))
+    return ranges.ranked(named, ["b"]).select("c_custkey", F.hex("b").alias("hex_key"), "place")
 
 
-@query("SELECT event_id, rank() OVER (ORDER BY event_id - 5000) by_long, rank() OVER (ORDER BY value - 50) by_double FROM events WHERE event_id < 2000")
+@query("SELECT event_id, rank() OVER (ORDER BY event_id - 5000) by_long, rank() OVER (ORDER BY value - 50) by_double FROM events")
 def number_key_order(spark, d):
-    rows = table(spark, d, "events").where("event_id < 2000").select("event_id", keys.long_key(F.col("event_id") - 5000).alias("a"), keys.double_key(F.col("value") - 50).alias("b"))
-    return rows.select("event_id", *(F.rank().over(Window.partitionBy(F.lit(1)).orderBy(c)).cast("long").alias(n) for c, n in (("a", "by_long"), ("b", "by_double"))))
+    rows = table(spark, d, "events").select("event_id", keys.long_key(F.col("event_id") - 5000).alias("a"), keys.double_key(F.col("value") - 50).alias("b"))
+    return ranges.ranked(ranges.ranked(rows, ["a"], "by_long"), ["b"], "by_double").select("event_id", "by_long", "by_double")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'log' WHEN c_custkey % 3 = 1 THEN 'table' ELSE 'MANIFEST' END kind, c_custkey number FROM customer")
@@ -338,10 +349,15 @@ def file_names(spark, d):
     return table(spark, d, "customer").select("c_custkey", codec.file_kind(name).alias("kind"), F.regexp_extract(name, r"(\d+)", 1).cast("long").alias("number"))
 
 
-@query("SELECT DISTINCT c_custkey k, true AS may_have FROM customer")
+@query("SELECT count(DISTINCT c_custkey) n_found, true AS few_others FROM customer")
 def bloom_filter(spark, d):
+    """Keys that are in the filter, of which none is missed, and as many that are not, of which at most a fiftieth passes."""
     own = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    return codec.bloom_may_have(own, codec.bloom_bits(own, expected=20_000), expected=20_000)
+    n = own.count()
+    asked = own.unionByName(own.select((F.col("k") + 1_000_000_007).alias("k")))
+    found = codec.bloom_may_have(asked, codec.bloom_bits(own, expected=n), expected=n)
+    present, absent = F.col("k") < 1_000_000_007, F.col("k") >= 1_000_000_007
+    return found.agg(F.count(F.when(present & F.col("may_have"), 1)).alias("n_found"), (F.count(F.when(absent & F.col("may_have"), 1)) * 50 <= F.count(F.when(absent, 1))).alias("few_others"))
 
 
 @query("SELECT o_orderkey, (o_orderkey >> 3) & 1 AS bit, o_orderkey | 32 AS with_bit FROM orders")
@@ -356,18 +372,43 @@ def byte_functions(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.hex(F.concat(a, F.lit(b"/"), b)).alias("joined"), F.hex(F.substring(a, 10, 4)).alias("part"), F.octet_length(a).cast("long").alias("n"), (a < b).alias("smaller"))
 
 
-@query()
+# the checksum bit by bit: polynomial 0xEDB88320, reflected
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(hex(encode(c_name)), 2 * i - 1, 2))::BIGINT for i in range(1, strlen(c_name) + 1)]),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+
+@query(f"SELECT c_custkey, {_CRC} AS crc FROM customer")
 def checksums(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.crc32(keys.text_key("c_name")).alias("crc"), F.xxhash64("c_name").alias("hash"))
+    return table(spark, d, "customer").select("c_custkey", F.crc32(keys.text_key("c_name")).alias("crc"))
+
+
+@query()
+def hashes(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.xxhash64("c_name").alias("hash"))
 
 
 # --- the store end to end
 
 
 def _new_store(spark: SparkSession):
-    """An empty store in the shared folder of the cluster, or in a temporary one on a single machine."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-store-")
-    return Store.open(spark, f"{folder}/tidemark-store-{uuid.uuid4().hex}", auto_compact=False)
+    """An empty store in the shared folder of the cluster, or in a temporary one on a single machine; it goes when this
+    process ends."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-store-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    store = Store.open(spark, f"{folder}/tidemark-store-{uuid.uuid4().hex}", auto_compact=False)
+    atexit.register(_removed, store)
+    return store
+
+
+def _removed(store: Store) -> None:
+    try:
+        store.folder.delete("")
+    except Exception:  # noqa: BLE001  the session may have ended before
+        return
 
 
 def _ops(events: DataFrame) -> DataFrame:
@@ -423,6 +464,18 @@ def store_reverse(spark, d):
         return _shown(store.iterator(start=keys.as_key(20), reverse=True))
 
 
+@query("SELECT * FROM (VALUES ('info', 0), ('lock', 1), ('log', 1), ('other', 3)) t(kind, n) WHERE n > 0")
+def directory(spark, d):
+    """A store's folder: one lock and one log; the folders of commits, tables and marks are no files of a store."""
+    store = _filled(spark, d)
+    try:
+        store.folder.make("_stream")
+        found = store.folder.names()
+        return found.groupBy(F.coalesce("kind", F.lit("other")).alias("kind")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    finally:
+        store.close()
+
+
 @query(f"SELECT a.k, b.seq, round(b.v, 6) v FROM (SELECT DISTINCT n_nationkey::BIGINT k FROM nation) a LEFT JOIN {visible_sql('true', _STORED)} b USING (k)")
 def store_multi_get(spark, d):
     asked = table(spark, d, "nation").select(keys.long_key("n_nationkey").alias("k"))
@@ -436,3 +489,15 @@ def stream_ingest(spark, d):
     with _new_store(spark) as store:
         ingest(store, _ops(events), ["seq"], f"{store.folder.path}/_stream", name=f"ingest-{uuid.uuid4().hex}", once=True).awaitTermination()
         return _shown(store.iterator())
+
+
+@query(f"SELECT k, seq, round(v, 6) v FROM {_STORED} WHERE op = 1")
+def change_feed_rows(spark, d):
+    """The rows that a feed of the store's commits brings, before and after a compaction: each once."""
+    with _filled(spark, d) as store:
+        out = f"{store.folder.path}/_feed"
+        for i in range(2):
+            change_feed(store, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/{n}"), f"{store.folder.path}/_fed", name=f"feed-{uuid.uuid4().hex}", once=True).awaitTermination()
+            if not i:
+                store.compact_range()
+        return _shown(spark.read.option("recursiveFileLookup", "true").schema(LOG).parquet(out).where("op = 1"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.codec import file_kind
 
 
 class FileExists(OSError):
@@ -21,6 +26,12 @@ class Folder:
     def full(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def names(self) -> DataFrame:
+        """name, kind and number of what lies in the folder; kind is null for what is no file of a store."""
+        name = F.col("name")
+        found = self.spark.createDataFrame([(x,) for x in self.list()], "name string")
+        return found.select("name", file_kind(name).alias("kind"), F.regexp_extract(name, r"(\d+)", 1).try_cast("long").alias("number"))
+
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self._path(name))
 
@@ -33,6 +44,10 @@ class Folder:
     def changed(self, name: str) -> float:
         return self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
 
+    def touch(self, name: str) -> None:
+        """Set the time of change to now, where the file system lets that be set."""
+        self._fs.setTimes(self._path(name), int(time.time() * 1000), -1)
+
     def make(self, name: str = "") -> None:
         self._fs.mkdirs(self._path(name))
 
