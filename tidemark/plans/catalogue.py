@@ -339,7 +339,8 @@ def binary_order(spark, d):
 @query("SELECT event_id, rank() OVER (ORDER BY event_id - 5000) by_long, rank() OVER (ORDER BY value - 50) by_double FROM events")
 def number_key_order(spark, d):
     rows = table(spark, d, "events").select("event_id", keys.long_key(F.col("event_id") - 5000).alias("a"), keys.double_key(F.col("value") - 50).alias("b"))
-    return ranges.ranked(ranges.ranked(rows, ["a"], "by_long"), ["b"], "by_double").select("event_id", "by_long", "by_double")
+    by_double = ranges.ranked(rows, ["b"], "by_double").select("event_id", "by_double")
+    return ranges.ranked(rows, ["a"], "by_long").select("event_id", "by_long").join(by_double, "event_id")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'log' WHEN c_custkey % 3 = 1 THEN 'table' ELSE 'MANIFEST' END kind, c_custkey number FROM customer")
