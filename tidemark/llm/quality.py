@@ -90,9 +90,8 @@ def labelled(labels: DataFrame, good: bool, at_most: int = MAX_LABELLED) -> tupl
     return [r[0] for r in rows if r[1] % FOLD], [r[0] for r in rows if not r[1] % FOLD]
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """doc_ids and text of each text, once; the texts of a task are told apart by digest before they move."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def by_digest(docs: DataFrame) -> DataFrame:
+    """digest and text: equal texts in one partition, once for each task that had some."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -103,27 +102,25 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
                 seen.add(d)
             yield b.filter(pa.array(new, pa.bool_()))
 
-    rows = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
-    shape = f"doc_id {kind}, text string, digest binary"
-    return rows.mapInArrow(once, shape).repartition("digest").mapInArrow(once, shape).select("doc_id", "text")
+    rows = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), "text")
+    return rows.mapInArrow(once, "digest binary, text string").repartition("digest")
 
 
-def _counts(docs: DataFrame, n_buckets: int, ids: frozenset | None = None) -> np.ndarray:
-    """n-grams of each bucket, in all rows or in those with one of the ids."""
-    asked = docs.sparkSession.sparkContext.broadcast(ids)
+def _counts(texts: DataFrame, n_buckets: int, keys: frozenset | None = None) -> np.ndarray:
+    """n-grams of each bucket in the texts (key, text), or in those with one of the keys; each key counts once a partition."""
+    asked = texts.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, seen = np.zeros(n_buckets, np.int64), set()
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), as_bytes(b, "text"), strict=True):
-                if asked.value is None or (i in asked.value and i not in seen):
+            for key, t in zip(b.column(0).to_pylist(), as_bytes(b, "text"), strict=True):
+                if key not in seen and (asked.value is None or key in asked.value):
                     n += np.bincount(buckets_of(t or b"", n_buckets), minlength=n_buckets)
-                    if asked.value is not None:
-                        seen.add(i)
+                    seen.add(key)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["bucket", "n"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(n_buckets)
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"]
     return out
@@ -131,10 +128,10 @@ def _counts(docs: DataFrame, n_buckets: int, ids: frozenset | None = None) -> np
 
 def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, prior: float = PRIOR, at_most: int = MAX_LABELLED) -> np.ndarray:
     """log(p_trusted / p_raw) of each bucket."""
-    good = _counts(docs, n_buckets, frozenset(labelled(labels, True, at_most)[0]))
+    good = _counts(docs.select("doc_id", "text"), n_buckets, frozenset(labelled(labels, True, at_most)[0]))
     if not good.sum():
         return np.zeros(n_buckets)
-    raw = _counts(distinct_texts(docs), n_buckets)
+    raw = _counts(by_digest(docs), n_buckets)
     p_raw = (raw + 0.5) / (raw.sum() + 0.5 * n_buckets)
     return np.log((good + prior * p_raw) / (good.sum() + prior) / p_raw)
 
