@@ -343,7 +343,9 @@ def confirmed(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["q", "cid", "inliers", "scale", "turn", "dx", "dy"])
 
     asked = queries.select(F.col("cid").alias("q"), F.col("points").alias("qp"))
-    rows = pairs.join(asked, "q").join(classes.select("cid", "points"), "cid").select("q", "cid", "qp", "points")
+    # the smaller side moves: a query has several times the keypoints of an image
+    met = pairs.join(classes.select("cid", "points"), "cid")
+    rows = met.join(asked, "q").select("q", "cid", "qp", "points")
     return rows.mapInArrow(each, "q long, cid long, inliers long, scale double, turn double, dx double, dy double")
 
 
