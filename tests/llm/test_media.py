@@ -102,6 +102,24 @@ def test_links_against_all_pairs(spark):
     assert seen[0] == seen[1]
 
 
+def test_keys_move_table_by_table(spark):
+    """No step shuffles the keys of more than one table; before, one moved all of them."""
+    _, df = pages(spark, 30)
+
+    def stages():
+        store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    _, classes, _ = M.find_copies(M.described(df, ["page_id", "html"], M.drawn_pages))
+    most = max(n for i, n in stages().items() if i not in before)
+    points = [np.frombuffer(r.points, M._RECORD) for r in classes.where("NOT query").collect()]
+    asked = [np.frombuffer(r.points, M._RECORD) for r in classes.where("query").collect()]
+    larger = max(sum(len(M.keys_of(p)) for p in side) for side in (points, asked))
+    assert 0 < most < 0.4 * larger
+
+
 def test_query_over_cases(spark, tmp_path):
     rows, df = pages(spark, 120)
     df.write.parquet(str(tmp_path / "pages.parquet"))

@@ -6,10 +6,10 @@ two places is brighter, on a pattern turned by that direction. The smoothed imag
 tests as they are.
 
 Joining. TABLES keys of KEY_BITS of the 128 bits each; a query has further keys, in each of which one of its UNSURE tests is
-turned over, so that keys can be long, and strangers few, without losing copies. Every image that a query shares MIN_HITS buckets with is its
-candidate. The query set is stated (a fiftieth of all rows), so the keys of queries, which are few, are joined with those
-of all images; no bucket is cut, and no image stands for others. A patch that many images have costs the number of queries
-that have it times theirs.
+turned over, so that keys can be long, and strangers few, without losing copies. Every image that a query shares MIN_HITS
+buckets with is its candidate. The query set is stated (a fiftieth of all rows), so the keys of queries, which are few, are
+joined with those of all images, one table after the other, so that a fourth of the keys are on disk at once; no bucket is
+cut, and no image stands for others. A patch that many images have costs the number of queries that have it times theirs.
 
 Deciding. For each candidate all descriptors within MAX_DISTANCE bits are matched, and pairs of matches propose a turn,
 scale and shift; MIN_INLIERS matches, SPOT pixels apart, within TOLERANCE pixels of one proposal make a link. All pairs of
@@ -28,6 +28,7 @@ result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, as_bytes, release
+from .common import Written, as_bytes, discard, release
 
 LEAST_SIDE = 64
 SCALES, PER_KEYPOINT = (1.0, 0.75), 480
@@ -53,8 +54,10 @@ MIN_HITS = 2
 MIN_INLIERS, TOLERANCE, SPOT = 6, 1.5, 6.0
 PARTNERS = 48
 EVERY = 50
-#: Pixels that are described at once.
-STACK = 1 << 20
+#: Pixels that are described at once: few enough for a core's cache, the keypoints are the same for any number.
+STACK = 1 << 17
+#: Classes are made and links confirmed in so many parts one after the other, so that little is shuffled at once.
+PARTS = 4
 #: A keypoint: its place in half pixels, the results of its tests, and of queries which of these are unsure.
 _RECORD = np.dtype([("x", "<u4"), ("y", "<u4"), ("d", "<u8", 2), ("unsure", "<u8", 2)])
 
@@ -187,11 +190,12 @@ def describe(images: np.ndarray, asked: bool = False) -> list[np.ndarray]:
         y, x = y + MARGIN, x + MARGIN
         if not len(of):
             continue
-        patch = smooth[of[:, None], y[:, None] + disc[0], x[:, None] + disc[1]]
+        # places as numbers in the flat stack
+        pixels, at = smooth.ravel(), (of * h + y) * w + x
+        patch = pixels[at[:, None] + (disc[0] * w + disc[1])]
         angle = np.arctan2(patch @ disc[0].astype(np.float32), patch @ disc[1].astype(np.float32))
         turn = np.rint(angle * ANGLES / (2 * np.pi)).astype(np.int64) % ANGLES
-        place = _TESTS[turn]
-        value = smooth[of[:, None, None], y[:, None, None] + place[..., 0], x[:, None, None] + place[..., 1]]
+        value = pixels[at[:, None, None] + (_TESTS[..., 0] * w + _TESTS[..., 1])[turn]]
         out = np.empty(len(of), _RECORD)
         out["x"], out["y"] = np.rint((2 * x + 1) / scale), np.rint((2 * y + 1) / scale)
         out["d"] = np.packbits(value[..., 0] < value[..., 1], axis=1, bitorder="little").view("<u8")
@@ -209,14 +213,14 @@ def _bits_of(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
 
 
-def keys_of(points: np.ndarray) -> np.ndarray:
+def keys_of(points: np.ndarray, tables: range = range(TABLES)) -> np.ndarray:
     """The keys of points, once each: of each table that of the results, and those with one unsure result turned over."""
-    bits, weak, keys = _bits_of(points["d"])[:, _BITS], _bits_of(points["unsure"])[:, _BITS] > 0, []
+    bits, weak = _bits_of(points["d"])[:, _BITS[tables]], _bits_of(points["unsure"])[:, _BITS[tables]] > 0
     own = (bits.astype(np.uint64) << np.arange(KEY_BITS, dtype=np.uint64)).sum(2, dtype=np.uint64)
     i, t, k = np.nonzero(weak)
     turned = own[i, t] ^ (np.uint64(1) << k.astype(np.uint64))
-    table = np.broadcast_to(np.arange(TABLES), own.shape)
-    keys = _mix(_mix(np.concatenate((own.ravel(), turned))) ^ np.concatenate((table.ravel(), t)).astype(np.uint64))
+    table = np.broadcast_to(tables, own.shape)
+    keys = _mix(_mix(np.concatenate((own.ravel(), turned))) ^ np.concatenate((table.ravel(), t + tables.start)).astype(np.uint64))
     return np.unique(keys.view(np.int64)) if len(points) else np.zeros(0, np.int64)
 
 
@@ -224,13 +228,17 @@ def consensus(query: np.ndarray, other: np.ndarray) -> tuple[int, complex, compl
     """The most matches that one similarity (factor, shift) brings to their places, and that similarity."""
     if min(len(query), len(other)) < MIN_INLIERS:
         return 0, 0j, 0j
-    distance = np.bitwise_count(query["d"][:, None] ^ other["d"][None]).sum(2)
+    # word by word: two bytes' sum is faster than one along a short axis
+    low, high = (np.bitwise_count(query["d"][:, k, None] ^ other["d"][:, k]) for k in range(2))
+    distance = low + high
     best = distance.argmin(1)
     which = np.flatnonzero(distance[np.arange(len(query)), best] <= MAX_DISTANCE)
     if len(which) < MIN_INLIERS:
         return 0, 0j, 0j
     q = query["x"][which] / 2 + 1j * query["y"][which] / 2
     c = other["x"][best[which]] / 2 + 1j * other["y"][best[which]] / 2
+    if len(np.unique(np.round(c / SPOT))) < MIN_INLIERS:
+        return 0, 0j, 0j
     at = np.arange(len(q))
     ahead = np.arange(1, min(len(q), PARTNERS + 1))
     i, j = np.repeat(at, len(ahead)), (at[:, None] + ahead).ravel()
@@ -244,12 +252,17 @@ def consensus(query: np.ndarray, other: np.ndarray) -> tuple[int, complex, compl
     shift = c[i] - factor * q[i]
     fair = (np.abs(factor) > 0.4) & (np.abs(factor) < 2.5)
     most, top, near = 0, 0, np.zeros(len(q), np.bool_)
-    for a in range(0, len(i), 1024):
-        close = np.abs(factor[a : a + 1024, None] * q + shift[a : a + 1024, None] - c) <= TOLERANCE
-        n = close.sum(1) * fair[a : a + 1024]
+    # only fair proposals can win
+    factor, shift = factor[fair], shift[fair]
+    for a in range(0, len(factor), 256):
+        off = factor[a : a + 256, None] * q + shift[a : a + 256, None] - c
+        close = off.real**2 + off.imag**2 <= TOLERANCE**2
+        n = np.count_nonzero(close, axis=1)
         if n.max() > most:
             most, top = int(n.max()), a + int(n.argmax())
             near = close[n.argmax()]
+    if not most:
+        return 0, 0j, 0j
     # matches in one spot, such as a word that two pages share, count once
     inliers = len(np.unique(np.round(c[near] / SPOT)))
     return inliers, complex(factor[top]), complex(shift[top])
@@ -303,26 +316,35 @@ def drawn_pages(part: dict) -> tuple[list, list[np.ndarray], list[bool]]:
     return ids + [ids[i] for i in asked], images + [edited(images[i], ids[i]) for i in asked], [False] * len(ids) + [True] * len(asked)
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """cid and key, for the keys of rows (cid, points); each key once."""
+def _keyed(rows: DataFrame, table: int) -> DataFrame:
+    """cid and key, for the keys in a table of rows (cid, points); each key once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cids, blobs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for at in range(0, len(cids), 256):
                 parts = [np.frombuffer(x, _RECORD) for x in blobs[at : at + 256]]
-                keys = [keys_of(p) for p in parts]
+                keys = [keys_of(p, range(table, table + 1)) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cids[at : at + 256], [len(k) for k in keys])), pa.array(np.concatenate(keys))], ["cid", "key"])
 
     return rows.select("cid", "points").mapInArrow(each, "cid long, key long")
 
 
-def candidates(queries: DataFrame, classes: DataFrame) -> DataFrame:
-    """(q, cid): queries and classes (cid, points) that share MIN_HITS keys. The side of the queries is hashed, so that the
-    keys of all classes are shuffled once and not sorted."""
-    asked = _keyed(queries).withColumnRenamed("cid", "q").hint("shuffle_hash")
-    met = _keyed(classes).join(asked, "key").groupBy("q", "cid").count()
-    return met.where(F.col("count") >= MIN_HITS).select("q", "cid")
+def candidates(queries: DataFrame, classes: DataFrame) -> Written:
+    """(q, cid): queries and classes (cid, points) that share MIN_HITS keys. One table of keys is shuffled after the other,
+    and of each only stays how many keys a pair shares. The side of the queries is hashed, so that the keys of all classes are
+    not sorted."""
+    spark, hits = classes.sparkSession, []
+    for table in range(TABLES):
+        asked = _keyed(queries, table).withColumnRenamed("cid", "q").hint("shuffle_hash")
+        hits.append(Written(_keyed(classes, table).join(asked, "key").groupBy("q", "cid").count(), "hits"))
+        release(spark)
+    met = _all(hits).groupBy("q", "cid").agg(F.sum("count").alias("count"))
+    pairs = Written(met.where(F.col("count") >= MIN_HITS).select("q", "cid"), "pairs")
+    for x in hits:
+        x.drop()
+    release(spark)
+    return pairs
 
 
 def confirmed(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
@@ -349,22 +371,32 @@ def confirmed(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataF
     return rows.mapInArrow(each, "q long, cid long, inliers long, scale double, turn double, dx double, dy double")
 
 
+def _all(parts: list[Written]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, [x.df for x in parts])
+
+
 def find_copies(images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, query, cid), classes (cid, query, points) and links (q, cid, inliers, scale, turn, dx, dy) from the class of
     a query to that of an image, for described images."""
     spark = images.sparkSession
-    every = Written(images, "described")
-    classes = Written(every.df.groupBy("cid", "query").agg(F.first("points").alias("points")), "classes")
+    part = F.pmod("cid", F.lit(PARTS)).cast("int")
+    every = Written(images.withColumn("part", part), "described", "part")
     rows = Written(every.df.select("id", "query", "cid"), "rows")
+    classes = []
+    for i in range(PARTS):
+        own = every.df.where(F.col("part") == i).groupBy("cid", "query").agg(F.first("points").alias("points"))
+        classes.append(Written(own, "classes"))
+        discard(spark, f"{every.path}/part={i}")
+        release(spark)
     every.drop()
-    release(spark)
-    queries, base = classes.df.where("query"), classes.df.where("NOT query")
-    pairs = Written(candidates(queries, base), "pairs")
-    release(spark)
-    links = Written(confirmed(pairs.df, queries, base), "links")
+    queries = _all(classes).where("query")
+    pairs = candidates(queries, _all(classes).where("NOT query"))
+    links = []
+    for i, own in enumerate(classes):
+        links.append(Written(confirmed(pairs.df.where(part == i), queries, own.df.where("NOT query")), "links"))
+        release(spark)
     pairs.drop()
-    release(spark)
-    return rows.df, classes.df, links.df
+    return rows.df, _all(classes), _all(links)
 
 
 def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
